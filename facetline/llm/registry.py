@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op2_source_mixing": mixing.op2_source_mixing,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
     }
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,17 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled(documents: DataFrame, labels: DataFrame, name: str, bound: int, where: str = "true") -> DataFrame:
+    """Documents with column ``name`` of ``labels`` (0 or 1), thinned by a hash of doc_id to about ``bound`` rows.
+
+    The ids and labels are broadcast: their number is bounded by ``bound``. A doc_id with differing labels is left out.
+    Other columns of ``documents`` that clash with ``name`` are dropped.
+    """
+    sound = labels.where(F.col("doc_id").isNotNull() & F.col(name).isin(0, 1) & F.expr(where)).groupBy("doc_id").agg(F.min(name).alias(name), F.max(name).alias("_most"))
+    sound = sound.where(F.col(name) == F.col("_most")).drop("_most")
+    total = sound.count()
+    if total > bound:
+        sound = sound.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * bound // total)
+    return documents.select(*(c for c in documents.columns if c.lower() != name.lower())).join(F.broadcast(sound), "doc_id")
