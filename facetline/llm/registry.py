@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, quality
+from . import minhash, mixing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_source_mixing": mixing.op2_source_mixing,
+        "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
     }
 
