@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, pieces, quality, toxicity
+from . import minhash, mixing, pieces, quality, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_source_mixing": mixing.op2_source_mixing,
+        "op3_token_files": tokens.op3_token_files,
         "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
         "op8_sentencepiece_nbest": pieces.op8_sentencepiece_nbest,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
