@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, pieces, quality, tokens, toxicity
+from . import media, minhash, mixing, pieces, quality, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_token_files": tokens.op3_token_files,
+        "op4_flac_media": media.op4_flac_media,
         "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
         "op8_sentencepiece_nbest": pieces.op8_sentencepiece_nbest,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
