@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, minhash, mixing, pieces, quality, tokens, toxicity
+from . import language, media, minhash, mixing, pieces, quality, tokens, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_token_files": tokens.op3_token_files,
         "op4_flac_media": media.op4_flac_media,
+        "op6_language_id": language.op6_language_id,
         "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
         "op8_sentencepiece_nbest": pieces.op8_sentencepiece_nbest,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
