@@ -16,13 +16,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as kit
-from .shared import Scratch, table
+from .shared import Scratch, place, table
 from .tokenfile import Reader, Writer
 
 END = 1
@@ -106,17 +105,13 @@ def tokenizer(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
-
-
 def _write(model: str, root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task = tokenizer(model), TaskContext.get()
         # a name for each attempt: only files that the manifest lists count
         name = f"tokens-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
         writer, total = None, 0
-        files, path = _place(root)
+        files, path = place(root)
         for batch in batches:
             for part in kit.slices(batch, limit=6 << 20):
                 if writer is None:
@@ -148,7 +143,7 @@ def write(documents: DataFrame, model: str, root: str, shards: int) -> DataFrame
 
 def _read(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, path = _place(root)
+        files, path = place(root)
         for batch in batches:
             for name, at in zip(batch.column("name").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 with files.open_input_file(f"{path}/{name}") as file:
