@@ -1 +1 @@
-"""."""
+"""Column functions over vectors, scalars and strings."""

@@ -1 +1 @@
-"""."""
+"""Operators on DataFrames: search, ranking, statistics, models and raster kernels."""

@@ -1 +1 @@
-"""."""
+"""Sources and sinks: image folders, decoding, the descriptor index."""
