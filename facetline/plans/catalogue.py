@@ -486,3 +486,115 @@ def index_incremental_refresh(spark, d):
     index = files.where("vec_id % 3 <> 0").select("path", "mtime", "length").unionByName(files.where("vec_id % 3 = 0 AND vec_id % 2 = 0").select("path", "mtime", (F.col("length") + 1).alias("length")))
     new = stale(files, index).select("vec_id", F.lit("new").alias("origin"))
     return new.unionByName(files.join(new.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.lit("kept").alias("origin")))
+
+
+# -- raster kernels over drawings of the embeddings -------------------------------------------------------------------
+
+
+def _network():
+    from ..operators.mlp import RANKER, Network
+
+    return Network.by_rule(RANKER, lambda r, c: ((r * 7 + c * 3) % 11 - 3) / 200, lambda r: 0.0)
+
+
+@query()
+def image_search_e2e(spark, d):
+    """Every twentieth drawing, turned by 90 degrees and put on a background, against the drawings of all vectors."""
+    import numpy as np
+
+    from . import image_search as I
+
+    asked = _table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding", "label").toLocalIterator()
+    queries = {r["vec_id"]: I.describe(I.on_background(np.rot90(I.from_grid(r["embedding"], r["label"])).copy()), True) for r in asked}
+    index = I.drawings(spark, d).persist()
+    return I.ranked(index, {i: q for i, q in queries.items() if q}, 5, _network()).select("query_id", "ref_id", _six("score"), "stage", "rank")
+
+
+def _kernel(name: str, function, kind: str = "array<double>"):
+    def run(spark, d):
+        import pandas as pd
+
+        from . import image_search as I
+
+        def apply(batches):
+            for b in batches:
+                yield pd.DataFrame({"vec_id": b["vec_id"], "v": [function(I.from_grid(e, x)) for e, x in zip(b["embedding"], b["label"], strict=True)]})
+
+        return _table(spark, d, "embeddings").select("vec_id", "embedding", "label").mapInPandas(apply, f"vec_id long, v {kind}")
+
+    run.__name__ = name
+    return query()(run)
+
+
+def _shape(name: str):
+    def f(raster):
+        from ..operators.raster.descriptors import shape
+
+        found = shape(raster)
+        return None if found is None else [round(float(x), 6) for x in found[name]]
+
+    return f
+
+
+def _feature(name: str):
+    def f(raster):
+        from ..operators.raster import descriptors, masks
+
+        found = descriptors.features(raster, masks.library_coverage(raster))
+        return None if found is None else [round(float(x), 6) for x in found[name]]
+
+    return f
+
+
+def _skeleton_cells(raster) -> int:
+    from ..operators.raster import variants
+
+    return int((variants.skeleton(raster) == 0).sum())
+
+
+def _turned_dice(raster) -> float:
+    """Best overlap of the drawing's mask with itself turned by 40 degrees."""
+    from ..operators.raster import descriptors, masks, pairs
+
+    mask = descriptors.features(raster, masks.library_coverage(raster))["mask"]
+    turned = pairs.turned_mask(mask.reshape(64, 64), 40).reshape(1, -1)
+    return round(float(pairs.mask_scores(pairs.mask_turns(mask), float(mask.sum()), turned)[0]), 6)
+
+
+def _own_context(raster) -> float:
+    """Shape context similarity of the drawing with itself turned by 90 degrees."""
+    import numpy as np
+
+    from ..operators.raster import descriptors, masks, pairs
+
+    a, b = (descriptors.features(r, masks.library_coverage(r))["mask"] for r in (raster, np.rot90(raster).copy()))
+    return round(pairs.context_similarity(pairs.context_turns(a, 12), pairs.contexts(pairs.context_points(b))), 6)
+
+
+for _name, _function, _kind in (
+    ("fourier_descriptor", _shape("fourier"), "array<double>"), ("hog_descriptor", _shape("hog"), "array<double>"), ("zernike_moments", _feature("zern"), "array<double>"), ("angular_spectrum", _feature("ang_mag"), "array<double>"),
+    ("colour_histogram", _feature("hist"), "array<double>"), ("skeleton", _skeleton_cells, "long"), ("mask_dice_rotation", _turned_dice, "double"), ("shape_context_sim", _own_context, "double"),
+):
+    _kernel(_name, _function, _kind)
+
+
+@query()
+def assignment_cost(spark, d):
+    """Least cost of matching the eight rows of a vector's grid to those of the vector with the next id, by distance."""
+    import numpy as np
+    import pandas as pd
+
+    from ..operators.raster.pairs import assignment
+
+    rows = _vectors(spark, d)
+    both = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id")
+
+    def run(batches):
+        for b in batches:
+            costs = []
+            for x, y in zip(b["e"], b["f"], strict=True):
+                cost = np.sqrt(((x.reshape(8, 1, 8) - y.reshape(1, 8, 8)) ** 2).sum(axis=-1))
+                costs.append(round(float(cost[np.arange(8), assignment(cost)].sum()), 6))
+            yield pd.DataFrame({"vec_id": b["vec_id"], "cost": costs})
+
+    return both.mapInPandas(run, "vec_id long, cost double")
