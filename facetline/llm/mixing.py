@@ -21,6 +21,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: largest rest of a budget, in words, that the dynamic programme fills; larger rests are first brought below it
 REST = 1 << 16
+#: documents of each length that were taken by share and may still go
+BACK = 16
 
 
 def words_in(text: str = "text") -> Column:
@@ -77,6 +79,11 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
                 taken[i] += 1
                 rest -= int(lengths[i])
                 break
+    for i in order[::-1]:  # some go back, the shortest first, so that the programme has more to choose from
+        if 0 < rest < REST and lengths[i]:
+            many = min(int(taken[i]), BACK, (REST - rest) // int(lengths[i]))
+            taken[i] -= many
+            rest += many * int(lengths[i])
     small = np.flatnonzero((lengths > 0) & (lengths <= rest) & (taken < counts))
     if len(small) and rest <= REST:
         small = small[np.argsort(-lengths[small], kind="stable")]
