@@ -134,7 +134,7 @@ def read_clause(symbols: list[int], fst: Fst) -> list[int]:
 @dataclass(frozen=True)
 class Model:
     #: prior: those of MATCHED (over log1p of their counts), constant
-    weights: tuple[float, ...] = (3.0, 2.5, 3.0, 0.5, 4.0, 0.3, 0.8, 5.0, -3.0)
+    weights: tuple[float, ...] = (7.5, 5.0, 7.0, 0.7, 8.0, 0.4, 1.2, 9.0, -4.0)
     #: beginnings of words that give SURE and LIKELY
     sure: tuple[str, ...] = ()
     likely: tuple[str, ...] = ()
