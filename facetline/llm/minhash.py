@@ -6,9 +6,10 @@
 3. Each band bucket links its members to one hub, chosen by hash and thus another one in each band. Pairs whose
    collision-corrected estimate from the packed bits lies far below the threshold go; the others are confirmed on the
    full sets, and confirmed links are contracted into components.
-4. What is left are bucket members of different components. Buckets are cut into blocks, each pair of blocks is one
-   group; within it all pairs are compared on packed bits of 1,024 minima. First the best pair of every two components
-   is confirmed and contracted, then every pair that is left and not ruled out. Nothing is capped.
+4. What is left are bucket members of different components. Small buckets are joined with themselves; large ones are cut
+   into blocks, each pair of blocks is one group, and within it all pairs are compared on packed bits of 1,024 minima.
+   First the best pair of every two components is confirmed and contracted, then every pair that is left and not ruled
+   out. Nothing is capped.
 
 The smaller of two probabilities of losing a link decides how far below the threshold an estimate must lie: 4.5 standard
 deviations. A pair at exactly 0.75 shares no band with probability (1 - 0.75**4)**32, about 5e-6.
@@ -42,6 +43,8 @@ class Params:
     fine: int = 1024
     sigmas: float = 4.5
     block: int = 2048
+    #: buckets of up to so many members are joined with themselves on the short packed bits; larger ones go block by block
+    small: int = 64
     #: ids of candidate documents are broadcast up to this number (8 bytes each); beyond it, they are joined by shuffle
     broadcast_ids: int = 1_000_000
     seed: int = 20240229
@@ -154,23 +157,28 @@ def _fine(p: Params):
                 cuts = lists.offsets.to_numpy().astype(np.int64)
                 hashes = lists.values.to_numpy()[cuts[0] : cuts[-1]].view(np.uint64)
                 bits = packed(minima(cuts - cuts[0], hashes, p.fine, p.seed + 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cuts)), pa.array([x.tobytes() for x in bits], pa.binary())], ["node", "size", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(bits, np.full(len(part), bits.shape[1]))], ["node", "fine"])
 
     return run
 
 
+PAIRS = ["a", "b", "low", "high", "match"]
+
+
 def _pairs(p: Params, best_only: bool):
-    """Pairs of one pair of blocks: other components, similar enough sizes, not ruled out, in no earlier bucket."""
+    """Pairs of one pair of blocks: other components, similar enough sizes, not ruled out, in no earlier large bucket."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bucket, i, j = key
         rows = rows.sort_values("node", kind="stable")
         left, right = rows[rows["block"] == i], rows[rows["block"] == j]
         nodes, labels, sizes = right["node"].to_numpy(), right["label"].to_numpy(), right["size"].to_numpy()
-        bits = np.frombuffer(b"".join(right["bits"]), np.uint64).reshape(len(right), -1)
-        keys = np.stack(right["keys"].to_numpy()) if len(right) else np.empty((0, p.bands))
-        own = np.frombuffer(b"".join(left["bits"]), np.uint64).reshape(len(left), -1)
-        least, found = p.least_match(p.fine), []
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in PAIRS})
+        bits, own = (np.stack(side["bits"].to_numpy()).view(np.uint64) for side in (right, left))
+        keys = np.stack(right["keys"].to_numpy())
+        lanes = 16 * bits.shape[1]
+        least, found = p.least_match(lanes), []
         for at, (node, label, size, own_keys) in enumerate(zip(left["node"], left["label"], left["size"], left["keys"], strict=True)):
             near = (labels != label) & (100 * np.minimum(sizes, size) >= p.percent * np.maximum(sizes, size))
             if i == j:
@@ -181,20 +189,27 @@ def _pairs(p: Params, best_only: bool):
             x = bits[near] ^ own[at]
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
-            equal = 1 - np.bitwise_count(x & np.uint64(LANES)).sum(axis=1) / p.fine
+            equal = 1 - np.bitwise_count(x & np.uint64(LANES)).sum(axis=1) / lanes
             near, equal = near[equal >= least], equal[equal >= least]
             if len(near):
                 shared = keys[near] == own_keys
                 first = own_keys[shared.argmax(axis=1)] == bucket
                 found += [(node, nodes[k], min(label, labels[k]), max(label, labels[k]), e) for k, e in zip(near[first], equal[first], strict=True)]
-        out = pd.DataFrame(found, columns=["a", "b", "low", "high", "match"])
-        if best_only:
-            out = out.sort_values(["match", "a", "b"], ascending=[False, True, True]).drop_duplicates(["low", "high"])
-        return out[["a", "b"]].astype("int64")
+        out = pd.DataFrame(found, columns=PAIRS)
+        return out.sort_values(["match", "a", "b"], ascending=[False, True, True]).drop_duplicates(["low", "high"]) if best_only else out
 
     return run
 
 
+def _small_pairs(mixed: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """As ``_pairs``, of buckets of at most ``small`` members: at most half as many pairs for each row."""
+    rows = mixed.where(F.col("members") <= p.small).join(nodes, "node")
+    a, b = (rows.select("bucket", F.col("node").alias(x), F.col("label").alias(f"{x}_label"), F.col("n_shingles").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    near = a.join(b, "bucket").where(F.expr("a < b AND a_label <> b_label") & _sizes_fit(p, "a_size", "b_size")).withColumn("match", _estimate(p))
+    near = near.where(F.col("match") >= p.least_match(p.bands * p.rows))
+    return near.select("a", "b", F.least("a_label", "b_label").alias("low"), F.greatest("a_label", "b_label").alias("high"), "match")
+
+
 def _estimate(p: Params) -> Column:
     """Share of equal lanes of a_bits and b_bits."""
 
@@ -257,11 +272,17 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
         tagged = live.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         mixed = tagged.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "members")
         mixed = scratch.put(tagged.join(mixed, "bucket"), f"mixed-{step}")
-        fine = sets.join(mixed.select("node").distinct(), "node", "left_semi").mapInArrow(_fine(p), "node long, size long, bits binary")
+        many = mixed.where(F.col("members") > p.small)
+        if step == 1:  # later buckets are among these
+            fine = scratch.put(sets.join(many.select("node").distinct(), "node", "left_semi").mapInArrow(_fine(p), "node long, fine array<long>").dropDuplicates(["node"]), "fine")
         count = F.ceil(F.col("members") / p.block).cast("int")
-        rows = mixed.join(fine, "node").join(nodes.select("node", "keys"), "node").withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "size", "bits", "keys")
-        pairs = scratch.put(rows.groupBy("bucket", "i", "j").applyInPandas(_pairs(p, best_only), "a long, b long").distinct(), f"pairs-{step}")
+        rows = many.join(nodes, "node").join(fine, "node").select("bucket", "members", "node", "label", F.col("n_shingles").alias("size"), "keys", F.col("fine").alias("bits"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+        rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "size", "bits", "keys")
+        pairs = rows.groupBy("bucket", "i", "j").applyInPandas(_pairs(p, best_only), "a long, b long, low long, high long, match double").union(_small_pairs(mixed, nodes, p))
+        if best_only:
+            pairs = pairs.groupBy("low", "high").agg(F.max_by(F.struct("a", "b"), F.struct("match", "a", "b")).alias("best")).select("best.a", "best.b")
+        pairs = scratch.put(pairs.select("a", "b").distinct(), f"pairs-{step}")
         more = _confirm(pairs, sets, p)
         links = scratch.put(links.union(more), f"links-{step}")
         labels = connected(links, scratch, f"labels-{step}")
@@ -273,7 +294,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
         F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
     done = scratch.put(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.drop("signs", "nodes", "live", "ids", "sets", "mixed-1", "mixed-2", "pairs-1", "pairs-2")
+    scratch.drop("signs", "nodes", "live", "ids", "sets", "fine", "mixed-1", "mixed-2", "pairs-1", "pairs-2")
     return done
 
 
