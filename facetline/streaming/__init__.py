@@ -1 +1 @@
-"""."""
+"""Streaming: an index that follows its folder."""
