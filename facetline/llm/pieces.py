@@ -6,9 +6,9 @@ written as its bytes. Forward Viterbi scores are then the exact heuristic of a b
 segmentations in order of score.
 
 No piece crosses certain pairs of characters (a letter and the space after it, for one), so the lattice falls apart
-there: parts are searched once and texts are put together from them. A part's loss from its best to its second-best
-segmentation comes from forward and backward scores; only the parts with the least losses can change among a text's N
-best, and only those are searched by A*.
+there: the distinct parts of a run of texts are searched at once, position by position of all parts, and texts are put
+together from them. A part's loss from its best to its second-best segmentation comes from forward and backward scores;
+only the parts with the least losses can change among a text's N best, and only those are searched by A*.
 """
 
 from __future__ import annotations
@@ -35,11 +35,9 @@ UNKNOWN_PENALTY = 10.0
 MARKS = ".,;:!?|%&$*#\"')(-"
 LINES = re.compile("(\n)")
 NO_LOSS = float("inf")
-#: a Python worker remembers the parts that it met among the last so many, and among as many before
-REMEMBERED = 200_000
-
+#: parts that are searched at once
+TOGETHER = 16_384
 Edge = tuple[int, int, int, float]  # start, end, piece id (below 0: minus the code point of an unknown character), score
-Found = tuple[tuple[int, ...], float, float]  # piece ids and score of the best segmentation, its lead over the next
 
 
 class Pieces:
@@ -76,8 +74,40 @@ class Pieces:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.pool = np.frombuffer(b"".join(self.raw), np.uint8)
         self.lines = not any("\n" in x for x in self.pairs)
-        self.young: dict[str, Found] = {}
-        self.old: dict[str, Found] = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """The trie as arrays: children of the root by character, all others in a sorted list of (node, character)."""
+        characters = {c: k for k, c in enumerate(sorted({c for p in self._walk() for c in p[0][-1]}))}
+        self.code = np.full(0x110000, len(characters), np.int32)
+        for c, k in characters.items():
+            self.code[ord(c)] = k
+        self.base = len(characters) + 1
+        self.first = np.full(self.base, -1, np.int64)
+        number, keys, to = {"": -1}, [], []
+        entries, scores = [], []
+        for prefix, node in self._walk():
+            k = number[prefix] = len(entries)
+            entries.append(node[1][0] if node[1] else -1)
+            scores.append(node[1][1] if node[1] else 0.0)
+            if len(prefix) == 1:
+                self.first[characters[prefix]] = k
+            else:
+                keys.append(number[prefix[:-1]] * self.base + characters[prefix[-1]])
+                to.append(k)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.to = np.array(keys, np.int64)[order], np.array(to, np.int64)[order]
+        self.entry, self.entry_score = np.array(entries, np.int64), np.array(scores)
+
+    def _walk(self) -> Iterator[tuple[str, list]]:
+        """(characters, node) of every node, parents first."""
+        todo = [(c, node) for c, node in self.trie.items()]
+        while todo:
+            following = []
+            for prefix, node in todo:
+                yield prefix, node
+                following += [(prefix + c, child) for c, child in node[0].items()]
+            todo = following
 
     # -- lattice of one string ----------------------------------------------------------------------------------------
 
@@ -141,51 +171,94 @@ class Pieces:
                 out += [self.byte[b] for b in (SPACE if c == OWN_SPACE else c).encode()]
         return out
 
-    def part(self, s: str) -> Found:
-        found = self.young.get(s)
-        if found is not None:
-            return found
-        found = self.old.get(s) or self._search(s)
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[s] = found
-        return found
-
-    def _search(self, s: str) -> Found:
-        edges, best, back = self.lattice(s)
-        at, ids, chosen = len(s), [], set()
-        while at:
-            k = back[at]
-            chosen.add(k)
-            at, _, piece, _ = edges[k]
-            ids.append(piece)
-        onward, second = [-NO_LOSS] * len(s) + [0.0], -NO_LOSS
-        for k in range(len(edges) - 1, -1, -1):
-            i, j, _, w = edges[k]
-            rest = w + onward[j]
-            if rest > onward[i]:
-                onward[i] = rest
-            if best[i] + rest > second and k not in chosen:
-                second = best[i] + rest
-        ids.reverse()
-        return tuple(self.expand(ids)), best[-1], best[-1] - second
-
-    def unit(self, s: str) -> Found:
-        """As ``part``, of a string that may fall apart: at line ends, and before marks at its end."""
+    def cut(self, s: str) -> list[str]:
+        """Parts of a unit that no piece crosses: lines, and marks at the end."""
         if s[-1].isalpha():
-            if not self.lines or "\n" not in s:
-                return self.part(s)
             cuts = [s]
         else:
-            bare = s.rstrip(MARKS)
-            k = len(bare)
-            cuts = [s] if not 0 < k < len(s) or s[k - 1 : k + 1] in self.pairs else [bare, s[k:]]
+            k = len(s.rstrip(MARKS))
+            cuts = [s] if not 0 < k < len(s) or s[k - 1 : k + 1] in self.pairs else [s[:k], s[k:]]
         if self.lines and "\n" in s:
             cuts = [x for c in cuts for x in LINES.split(c) if x]
-        if len(cuts) == 1:
-            return self.part(cuts[0])
-        found = [self.part(c) for c in cuts]
-        return tuple(i for x in found for i in x[0]), sum(x[1] for x in found), min(x[2] for x in found)
+        return cuts
+
+    # -- lattices of many strings ---------------------------------------------------------------------------------------
+
+    def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, length, piece, score) of all edges; ``ends`` is the end of each position's part."""
+        codes = self.code[points]
+        at, node = np.arange(len(points)), self.first[codes]
+        lone = np.flatnonzero((node < 0) | (self.entry[np.maximum(node, 0)] < 0))
+        out = [(lone, np.ones(len(lone), np.int64), -points[lone].astype(np.int64), np.full(len(lone), self.unknown))]
+        length = 1
+        at, node = at[node >= 0], node[node >= 0]
+        while len(at):
+            hit = self.entry[node] >= 0
+            out.append((at[hit], np.full(int(hit.sum()), length, np.int64), self.entry[node[hit]], self.entry_score[node[hit]]))
+            on = at + length < ends[at]
+            at, node = at[on], node[on]
+            key = node * self.base + codes[at + length]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[k] == key
+            at, node, length = at[on], self.to[k[on]], length + 1
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def search(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ids, scores, losses): the best segmentation of each part, and its lead over the second best. Of equal
+        scores the one whose last piece is longest, and so on down."""
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        stops = np.cumsum(lengths)
+        begins = stops - lengths
+        owner = np.repeat(np.arange(len(parts)), lengths)
+        start, size, piece, score = self._edges(points, stops[owner])
+        part = owner[start]
+        offset = start - begins[part]
+        order = np.lexsort((start, offset))
+        start, size, piece, score, part, offset = (x[order] for x in (start, size, piece, score, part, offset))
+        source = start + part  # each part has a place more than characters
+        target = source + size
+        turns = np.searchsorted(offset, np.arange(int(lengths.max(initial=0)) + 1))
+        best, back = np.full(len(points) + len(parts), -NO_LOSS), np.full(len(points) + len(parts), -1, np.int64)
+        first, last = begins + np.arange(len(parts)), stops + np.arange(len(parts))
+        best[first] = 0.0
+        for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True):
+            through = best[source[a:b]] + score[a:b]
+            better = np.flatnonzero(through > best[target[a:b]])
+            best[target[a:b][better]] = through[better]
+            back[target[a:b][better]] = a + better
+        chosen, at = np.zeros(len(start), bool), last
+        while len(at):
+            edge = back[at]
+            edge = edge[edge >= 0]
+            chosen[edge] = True
+            at = source[edge]
+        onward = np.full(len(best), -NO_LOSS)
+        onward[last] = 0.0
+        rest = np.empty(len(start))
+        for a, b in zip(turns[-2::-1].tolist(), turns[:0:-1].tolist(), strict=True):
+            if a == b:
+                continue
+            rest[a:b] = score[a:b] + onward[target[a:b]]
+            heads = np.flatnonzero(np.diff(source[a:b], prepend=-1))
+            onward[source[a:b][heads]] = np.maximum.reduceat(rest[a:b], heads)
+        second = np.full(len(parts), -NO_LOSS)
+        other = np.flatnonzero(~chosen)
+        np.maximum.at(second, part[other], best[source[other]] + rest[other])
+        kept = np.flatnonzero(chosen)
+        kept = kept[np.argsort(start[kept], kind="stable")]
+        ids, many = piece[kept], np.ones(len(kept), np.int64)
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            spelt = {c: self.expand([c]) for c in np.unique(ids[unknown]).tolist()}
+            many[unknown] = [len(spelt[c]) for c in ids[unknown].tolist()]
+            whole = np.repeat(ids, many)
+            at = np.cumsum(many) - many
+            for k in unknown.tolist():
+                whole[at[k] : at[k] + many[k]] = spelt[int(ids[k])]
+            ids = whole
+        counts = np.bincount(part[kept], many, len(parts)).astype(np.int64)
+        return np.concatenate([[0], np.cumsum(counts)]), ids, best[last], best[last] - second
 
     # -- texts --------------------------------------------------------------------------------------------------------
 
@@ -221,30 +294,38 @@ class Pieces:
     def encode(self, texts: pa.Array, n: int = 1) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
         """(starts, ids, scores): ids of the best segmentation of each text, and the scores of its ``n`` best."""
         starts, codes, units = self.units(texts)
-        used = np.unique(codes)
-        found = {int(c): self.unit(units[c]) for c in used.tolist()}
-        lengths, scores, losses = (np.zeros(len(units), kind) for kind in (np.int64, np.float64, np.float64))
-        for c, (ids, score, loss) in found.items():
-            lengths[c], scores[c], losses[c] = len(ids), score, loss
-        pool = np.fromiter((i for c in used.tolist() for i in found[c][0]), np.int64, int(lengths.sum()))
-        first = np.cumsum(lengths) - lengths
-        ids = pool[kit.ragged_take(first[codes], lengths[codes])]
-        totals = np.concatenate([[0.0], np.cumsum(scores[codes])])  # whole numbers in known models: sums are exact
-        ends = np.concatenate([[0], np.cumsum(lengths[codes])])[starts]
+        used, codes_used = np.unique(codes, return_inverse=True)
+        number: dict[str, int] = {}
+        cuts = [[number.setdefault(c, len(number)) for c in self.cut(units[k])] for k in used.tolist()]
+        if not cuts:
+            return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64), [[0.0] for _ in range(len(texts))]
+        parts_of = list(number)
+        found = [self.search(parts_of[k : k + TOGETHER]) for k in range(0, len(parts_of), TOGETHER)]
+        pool, scores, losses = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f[0]) for f in found]))])
+        counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        flat = np.fromiter((c for cut in cuts for c in cut), np.int64, int(counts.sum()))
+        heads = np.cumsum(counts) - counts
+        unit_loss = np.minimum.reduceat(losses[flat], heads)
+        parts = flat[kit.ragged_take(heads[codes_used], counts[codes_used])]
+        lengths = np.diff(at)[parts]
+        ids = pool[kit.ragged_take(at[:-1][parts], lengths)]
+        begins = np.concatenate([[0], np.cumsum(counts[codes_used])])[starts]  # of texts, among parts
+        totals = np.concatenate([[0.0], np.cumsum(scores[parts])])[begins]  # whole numbers in known models: sums are exact
+        ends = np.concatenate([[0], np.cumsum(lengths)])[begins]
         ranked = []
         for i in range(len(texts)):
-            a, b = starts[i], starts[i + 1]
-            best = float(totals[b] - totals[a])
-            ranked.append(self._ranked(codes[a:b], losses, units, best, n) if n > 1 else [best])
+            own, best = codes_used[starts[i] : starts[i + 1]], float(totals[i + 1] - totals[i])
+            ranked.append(self._ranked(own, unit_loss, used, units, best, n) if n > 1 else [best])
         return ends, ids, ranked
 
-    def _ranked(self, codes: np.ndarray, losses: np.ndarray, units: list[str], best: float, n: int) -> list[float]:
+    def _ranked(self, codes: np.ndarray, losses: np.ndarray, used: np.ndarray, units: list[str], best: float, n: int) -> list[float]:
         own = losses[codes]
         near = np.argpartition(own, n - 2)[: n - 1] if len(own) >= n else np.arange(len(own))
         sums = [0.0]
         for k in near.tolist():
             if own[k] < NO_LOSS:
-                scores = [score for score, _ in self.nbest(units[codes[k]], n)]
+                scores = [score for score, _ in self.nbest(units[used[codes[k]]], n)]
                 sums = sorted(s + scores[0] - x for s in sums for x in scores)[:n]
         return [best - s for s in sums]
 
@@ -265,7 +346,7 @@ def _encode(path: str, n: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            for part in kit.slices(batch, limit=6 << 20):
+            for part in kit.slices(batch, limit=2 << 20):
                 texts = part.column("text")
                 starts, ids, scores = model.encode(texts, n)
                 raw = ids.astype("<u4")
