@@ -1,7 +1,7 @@
 """Token ids of documents in seekable zstandard files, written in ascending order of doc_id and read back.
 
-The tokenizer splits at white space before anything else, so words are encoded once for each run of text (and remembered
-by the worker) and texts are put together from them. Words of letters only are encoded many at a time: each is one
+The tokenizer splits at white space before anything else, so distinct words are encoded once for each run of text and
+texts are put together from them. Words of letters only are encoded many at a time: each is one
 pre-token and thus ends where a token ends with the end-of-word mark; runs where the numbers differ go word by word.
 """
 
@@ -25,9 +25,8 @@ from .shared import Scratch, place, table
 from .tokenfile import Reader, Writer
 
 END = 1
-#: words that a Python worker remembers, among the last so many it met and as many before
-REMEMBERED = 200_000
-TOGETHER = 512
+#: distinct words that are encoded at once
+TOGETHER = 1024
 
 
 class WordTokens:
@@ -40,34 +39,41 @@ class WordTokens:
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
 
-    def _each(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _together(self, words: list[str]) -> list[list[int]]:
-        ids = self.library.encode(" ".join(words), add_special_tokens=False).ids
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has)."""
+        found = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum())), lengths
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a-z only: nothing is normalised or split, so the model itself is asked."""
+        tokenize = self.library.model.tokenize
+        found = [[t.id for t in tokenize(w)] for w in words]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum())), lengths
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words) or (len(ids) and cuts[-1] != len(ids)):
             return self._each(words)
-        cuts = [0, *cuts.tolist()]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def words(self, words: list[str], letters: np.ndarray) -> list[tuple[int, ...]]:
-        """Ids of distinct words; ``letters`` tells which have letters only."""
-        known = [self.young.get(w) or self.old.get(w) for w in words]
-        for k in (k for k, x in enumerate(known) if x is not None and words[k] not in self.young):
-            self.young[words[k]] = known[k]
-        new = np.array([k for k, x in enumerate(known) if x is None], np.int64)
-        for at, encode in ((new[letters[new]], self._together), (new[~letters[new]], self._each)):
-            for a in range(0, len(at), TOGETHER):
-                some = at[a : a + TOGETHER].tolist()
-                for k, ids in zip(some, encode([words[k] for k in some]), strict=True):
-                    known[k] = self.young[words[k]] = tuple(ids)
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        return known
+        return ids, np.diff(cuts, prepend=0)
+
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of distinct words: those of letters only many at a time, the others one by one."""
+        plain, letters = (pc.match_substring_regex(words, x).to_numpy(zero_copy_only=False) for x in (r"^[a-z]+$", r"^\p{L}+$"))
+        found, lengths = [], np.zeros(len(words), np.int64)
+        kinds = ((plain, self._plain), (letters & ~plain, self._together), (~letters, self._each))
+        order = np.concatenate([np.flatnonzero(mask) for mask, _ in kinds])
+        for mask, encode in kinds:
+            at, some = np.flatnonzero(mask), words.filter(pa.array(mask)).to_pylist()
+            for k in range(0, len(some), TOGETHER):
+                ids, lengths[at[k : k + TOGETHER]] = encode(some[k : k + TOGETHER])
+                found.append(ids)
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate(found) if found else np.empty(0, np.int64), starts, lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ids) of whole texts; null texts have none."""
@@ -75,25 +81,15 @@ class WordTokens:
         if not len(words.vocab):
             return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64)
         # letters, then ASCII marks: two pre-tokens that don't touch each other
-        parted = pc.match_substring_regex(words.vocab, r"^\p{L}+[!-/:-@\[-`{-~]+$").to_numpy(zero_copy_only=False)
-        listed = words.vocab.to_pylist()
-        heads, tails = list(listed), [""] * len(listed)
-        for k in np.flatnonzero(parted).tolist():
-            heads[k] = listed[k].rstrip(MARKS)
-            tails[k] = listed[k][len(heads[k]) :]
-        distinct = list(dict.fromkeys(chain(heads, tails)))
-        number = {w: k for k, w in enumerate(distinct)}
-        letters = pc.match_substring_regex(pa.array(distinct, pa.large_string()), r"^\p{L}+$").to_numpy(zero_copy_only=False)
-        known = self.words(distinct, letters)
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
-        pool = np.fromiter(chain.from_iterable(known), np.int64, int(lengths.sum()))
-        first = np.cumsum(lengths) - lengths
-        both = np.empty((len(listed), 2), np.int64)
-        both[:, 0] = np.fromiter((number[w] for w in heads), np.int64, len(listed))
-        both[:, 1] = np.fromiter((number[w] for w in tails), np.int64, len(listed))
-        used = both[words.codes].reshape(-1)
-        ids = pool[kit.ragged_take(first[used], lengths[used])]
-        ends = np.concatenate([[0], np.cumsum(lengths[used])])[2 * words.starts]
+        parted = pc.match_substring_regex(words.vocab, r"^\p{L}+[!-/:-@\[-`{-~]+$")
+        heads = pc.if_else(parted, pc.utf8_rtrim(words.vocab, characters=MARKS), words.vocab).dictionary_encode()
+        tails = pc.if_else(parted, pc.replace_substring_regex(words.vocab, r"^\p{L}+", ""), "").dictionary_encode()
+        both = pa.concat_arrays([heads.dictionary, tails.dictionary])
+        pool, first, lengths = self.distinct(both)
+        used = np.stack([heads.indices.to_numpy().astype(np.int64), tails.indices.to_numpy() + np.int64(len(heads.dictionary))], axis=1)[words.codes].reshape(-1)
+        counts = lengths[used]
+        ids = pool[kit.ragged_take(first[used], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[2 * words.starts]
         return ends, ids
 
 
@@ -113,7 +109,7 @@ def _write(model: str, root: str):
         writer, total = None, 0
         files, path = place(root)
         for batch in batches:
-            for part in kit.slices(batch, limit=6 << 20):
+            for part in kit.slices(batch, limit=8 << 20):
                 if writer is None:
                     files.create_dir(path, recursive=True)
                     out = files.open_output_stream(f"{path}/{name}", compression=None)
