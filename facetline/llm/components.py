@@ -34,7 +34,7 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     before, step = _state(now), 0
     while before[0]:
         step += 1
-        now = scratch.put(_small_star(_large_star(now)), f"{name}-{step}")
+        now = scratch.put(_small_star(_large_star(now)), f"{name}-{step}", 2 * before[0])
         scratch.drop(f"{name}-{step - 1}")
         after = _state(now)
         if after == before:

@@ -20,6 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: narrow rows of one file
+ROWS = 100_000
+
+
 class Scratch:
     """A folder of one operator call: ``put`` writes a table and reads it back, which cuts lineage
     and survives lost executors; ``drop`` removes tables that are no longer read."""
@@ -31,7 +35,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``rows``: about how many narrow rows there are, where that is known; a small table is written as few files."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS)))
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -51,6 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(documents: DataFrame) -> tuple[DataFrame, str]:
+    """Documents as one struct column ``row``, and its type: so no column name clashes with what an operator adds."""
+    rows = documents.select(F.struct("*").alias("row"))
+    return rows, rows.schema["row"].dataType.simpleString()
+
+
 def labelled(documents: DataFrame, labels: DataFrame, name: str, bound: int, where: str = "true") -> DataFrame:
     """Documents with column ``name`` of ``labels`` (0 or 1), thinned by a hash of doc_id to about ``bound`` rows.
 

@@ -114,11 +114,12 @@ def _above(nodes: DataFrame) -> DataFrame:
     return grouped.select("file", "place", F.sha2(F.unhex(joined), 256).alias("hash"))
 
 
-def tree(bottom: DataFrame, depth: int, scratch: Scratch, name: str) -> list[DataFrame]:
-    """The levels of every file's tree, leaves first, roots last."""
+def tree(bottom: DataFrame, depth: int, rows: int, scratch: Scratch, name: str) -> list[DataFrame]:
+    """The levels of every file's tree, leaves first, roots last; there are about ``rows`` leaves."""
     levels = [scratch.put(bottom, f"{name}-0")]
     for k in range(depth):
-        levels.append(scratch.put(_above(levels[-1]), f"{name}-{k + 1}"))
+        rows = -(-rows // FAN)
+        levels.append(scratch.put(_above(levels[-1]), f"{name}-{k + 1}", rows))
     return levels
 
 
@@ -135,13 +136,13 @@ def differing(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
 
 def audited(catalogue: DataFrame, one: str, other: str, scratch: Scratch) -> DataFrame:
     """The catalogue with the SHA-256 leaf of the replica under ``one``, and damaged: does ``other`` differ there?"""
-    most = catalogue.agg(F.max("place"), F.max("file")).first()
+    most = catalogue.agg(F.max("place"), F.max("file"), F.count("*")).first()
     depth, nodes = 0, (most[0] or 0) + 1
     while nodes > 1:
         depth, nodes = depth + 1, -(-nodes // FAN)
     files = (most[1] or 0) + 1
-    trees = [tree(leaves(catalogue, root, files), depth, scratch, name) for root, name in ((one, "one"), (other, "other"))]
-    found = scratch.put(differing(*trees), "found").withColumn("damaged", F.lit(True))
+    trees = [tree(leaves(catalogue, root, files), depth, most[2], scratch, name) for root, name in ((one, "one"), (other, "other"))]
+    found = scratch.put(differing(*trees), "found", most[2]).withColumn("damaged", F.lit(True))
     return catalogue.join(trees[0][0], ["file", "place"]).join(found, ["file", "place"], "left").withColumn("damaged", F.coalesce("damaged", F.lit(False)))
 
 
