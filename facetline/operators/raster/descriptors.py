@@ -271,12 +271,15 @@ def polygon_area(points: np.ndarray) -> float:
 
 def solidity(soft: np.ndarray) -> float:
     """Covered cells over the area of their convex hull, 1 at most."""
-    ys, xs = np.nonzero(soft > 0.1)
-    if not len(ys):
+    on = soft > 0.1
+    rows = np.flatnonzero(on.any(axis=1))
+    if not len(rows):
         return 0.0
-    corners = np.concatenate([np.stack([xs + a, ys + b], axis=1) for a in (0, 1) for b in (0, 1)])
+    # corners of the first and last cell of each row; all others are between them
+    ends = np.concatenate([on[rows].argmax(axis=1), on.shape[1] - on[rows, ::-1].argmax(axis=1)])
+    corners = np.concatenate([np.stack([ends, np.tile(rows, 2) + b], axis=1) for b in (0, 1)])
     area = polygon_area(hull(corners))
-    return min(1.0, len(ys) / area) if area > 0 else 0.0
+    return min(1.0, int(on.sum()) / area) if area > 0 else 0.0
 
 
 def regions(mask: np.ndarray, frame: tuple[float, float, float]) -> list[dict]:

@@ -72,7 +72,7 @@ def mask_scores(turns: np.ndarray, total: float, refs: np.ndarray, enough: float
     for turn in turns:
         if not live.any():
             break
-        at = np.flatnonzero(live)
+        at = slice(None) if live.all() else np.flatnonzero(live)
         out[at] = np.maximum(out[at], 2 * np.minimum(turn[None], refs[at]).sum(axis=1) / (total + sums[at]))
         live[at] = out[at] <= enough
     return out
@@ -134,10 +134,14 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 
 
 def chi_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(rows of a, rows of b)."""
-    s = a[:, None] + b[None]
-    d = (a[:, None] - b[None]) ** 2
-    return 0.5 * np.divide(d, s, out=np.zeros_like(d), where=s > 0).sum(axis=-1)
+    """(rows of a, rows of b). Half of (x-y)^2/(x+y) is half of x+y less 2xy/(x+y), and the latter is 0 for most bins, so
+    it is summed bin by bin over rows that have the bin."""
+    out = 0.5 * (a.sum(axis=1)[:, None] + b.sum(axis=1)[None])
+    for k in np.flatnonzero((a > 0).any(axis=0) & (b > 0).any(axis=0)):
+        i, j = np.flatnonzero(a[:, k]), np.flatnonzero(b[:, k])
+        x, y = a[i, k][:, None], b[j, k][None]
+        out[i[:, None], j[None]] -= 2 * (x * y / (x + y))
+    return out
 
 
 # -- shape context of soft masks ----------------------------------------------------------------------------------------
@@ -171,12 +175,14 @@ def context_turns(mask: np.ndarray, turns: int = 36) -> list[np.ndarray]:
 def context_similarity(turns: list[np.ndarray], ref: np.ndarray) -> float:
     """1 less the mean cost of the best matching over all turns, from 0 to 1; points without a partner cost nothing."""
     best, todo = np.inf, []
-    for own in turns:
-        if len(own) and len(ref):
-            cost = chi_squares(own, ref)
-            # no matching costs less than every point's nearest partner
-            short = cost if cost.shape[0] <= cost.shape[1] else cost.T
-            todo.append((short.min(axis=1).sum() / max(cost.shape), len(todo), cost))
+    live = [own for own in turns if len(own)] if len(ref) else []
+    costs = chi_squares(np.concatenate(live), ref) if live else None
+    at = 0
+    for own in live:
+        cost, at = costs[at : at + len(own)], at + len(own)
+        # no matching costs less than the nearest partners of the side that is matched whole
+        least = [cost.min(axis=k).sum() for k, whole in ((1, cost.shape[0] <= cost.shape[1]), (0, cost.shape[0] >= cost.shape[1])) if whole]
+        todo.append((max(least) / max(cost.shape), len(todo), cost))
     for bound, _, cost in sorted(todo, key=lambda x: x[:2]):
         if bound >= best:
             break
