@@ -27,7 +27,13 @@ SCHEMA = "path string, mtime timestamp, length long, error string, n int, mono b
 COLUMNS = [c.split()[0] for c in "path mtime length error n mono".split()] + list(VECTORS) + ["regions", "solidity", "area"]
 
 
-def describe(raster: np.ndarray, is_query: bool) -> dict | None:
+#: columns of an index that ``expert_ranked`` can search
+EXTRA = ("occ32", "occ16", "hog")
+EXTRA_SCHEMA = SCHEMA + ", " + ", ".join(f"{v} array<double>" for v in EXTRA) + ", points array<array<double>>, context array<array<double>>"
+EXTRA_COLUMNS = [*COLUMNS, *EXTRA, "points", "context"]
+
+
+def describe(raster: np.ndarray, is_query: bool, extra: bool = False) -> dict | None:
     """Both descriptors. The object of a library image is what isn't transparent, that of a query image what differs from
     its background."""
     cover = masks.query_coverage(raster) if is_query else masks.library_coverage(raster)
@@ -35,11 +41,20 @@ def describe(raster: np.ndarray, is_query: bool) -> dict | None:
     if found is None:
         return None
     found["cheap"] = np.concatenate([found[c] for c in CHEAP])
-    return found | {"regions": None} | (D.shape(raster, extra=False) or {})
+    return found | {"regions": None} | (D.shape(raster, extra) or {})
+
 
+def _frame(rows: list[dict], extra: bool = False) -> pd.DataFrame:
+    for row in rows:
+        for c in ("points", "context"):
+            if row.get(c) is not None:
+                row[c] = [list(map(float, v)) for v in row[c]]
+    return pd.DataFrame(rows, columns=EXTRA_COLUMNS if extra else COLUMNS).astype(object).where(lambda x: x.notna(), None)
 
-def described(rows: DataFrame, converter: images.Converter | None = None) -> DataFrame:
-    """(path, mtime, length, content) to rows of the index. What can't be decoded, or shows nothing, has only an error."""
+
+def described(rows: DataFrame, converter: images.Converter | None = None, extra: bool = False) -> DataFrame:
+    """(path, mtime, length, content) to rows of the index. What can't be decoded, or shows nothing, has only an error.
+    ``extra`` adds what only ``expert_ranked`` reads."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -47,14 +62,14 @@ def described(rows: DataFrame, converter: images.Converter | None = None) -> Dat
             for r in batch.itertuples(index=False):
                 row = {"path": r.path, "mtime": r.mtime, "length": r.length}
                 try:
-                    found = describe(images.decode(bytes(r.content), str(r.path).rpartition(".")[2], converter), False)
+                    found = describe(images.decode(bytes(r.content), str(r.path).rpartition(".")[2], converter), False, extra)
                     row |= found if found else {"error": "nothing is covered"}
                 except Exception as e:  # of one file; it must not end the build
                     row["error"] = str(e)[:200] or type(e).__name__
                 out.append(row)
-            yield pd.DataFrame(out, columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
+            yield _frame(out, extra)
 
-    return rows.mapInPandas(run, SCHEMA)
+    return rows.mapInPandas(run, EXTRA_SCHEMA if extra else SCHEMA)
 
 
 def cheap_scores(q: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -144,16 +159,72 @@ def on_background(raster: np.ndarray, colour=(236, 240, 232)) -> np.ndarray:
     return np.concatenate([np.rint(rgb).astype(np.uint8), np.full_like(raster[..., 3:], 255)], axis=-1)
 
 
-def _drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            out.append({"path": f"{r.vec_id}", "length": 0} | (describe(from_grid(r.embedding, r.label), False) or {"error": "nothing is covered"}))
-        yield pd.DataFrame(out, columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
+def _drawn(extra: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _frame([{"path": f"{r.vec_id}", "length": 0} | (describe(from_grid(r.embedding, r.label), False, extra) or {"error": "nothing is covered"}) for r in batch.itertuples(index=False)], extra)
+
+    return run
 
 
-def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drawings(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
     """The index of drawings of all embeddings."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     spread = rows.repartition(max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))  # small rows, much work on each
-    return spread.mapInPandas(_drawn, SCHEMA).withColumn("ref_id", F.col("path").cast("long"))
+    return spread.mapInPandas(_drawn(extra), EXTRA_SCHEMA if extra else SCHEMA).withColumn("ref_id", F.col("path").cast("long"))
+
+
+# -- colour-agnostic search ---------------------------------------------------------------------------------------------
+
+#: weights of the six dimensions before a query's own spread moves them
+PRIOR = {"occ": 0.20, "ncc": 0.20, "reg": 0.20, "hog": 0.10, "sc": 0.10, "fd": 0.20}
+
+
+def _row(r, columns: tuple) -> dict:
+    out = {c: r[c] for c in columns}
+    return out | {c: np.array([np.asarray(v) for v in out[c]]) for c in ("points", "context") if c in out}
+
+
+def _global(queries: dict[int, dict]):
+    ready = {i: P.prepared(q) for i, q in queries.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(i, r["ref_id"], P.expert(q, r)) for _, r in batch.iterrows() for i, q in ready.items()]
+            yield pd.DataFrame(out, columns=["query_id", "ref_id", "global"])
+
+    return run
+
+
+def _six(queries: dict[int, dict]):
+    """The six dimensions of each pair."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: dict[int, dict] = {}
+        for batch in batches:
+            out = []
+            for _, r in batch.iterrows():
+                q = ready.get(r["query_id"]) or ready.setdefault(r["query_id"], P.prepared(queries[r["query_id"]]))
+                ref = _row(r, ("occ64", "occ32", "occ16", "patch", "hog", "fourier", "rad", "regions", "solidity", "points", "context"))
+                v = (P.grid_similarity(q, ref), P.best_dot(q["patch_turns"], ref["patch"]), P.region_similarity(q["regions"], ref["regions"]), P.hog_shifts(q["hog"], ref["hog"]), P.contour_similarity(q, ref), P.cosine(q["fourier"], ref["fourier"]))
+                out += [(r["query_id"], r["ref_id"], dim, float(x)) for dim, x in zip(PRIOR, v, strict=True)]
+            yield pd.DataFrame(out, columns=["query_id", "ref_id", "dim", "score"])
+
+    return run
+
+
+def expert_ranked(index: DataFrame, queries: dict[int, dict], k: int = 5, cut: float = 0.5, most: int = 200) -> DataFrame:
+    """query_id, ref_id, score and rank by shape alone: a global score of every row, those that reach ``cut`` (all, if
+    none does), the best ``most`` of them in six dimensions, whose weights each query's own spread sets.
+
+    ``index`` and ``queries`` are described with ``extra``; rows without a shape are left out. With fewer than three
+    candidates the prior weights hold."""
+    spark = index.sparkSession
+    live = index.where("error IS NULL AND occ64 IS NOT NULL")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wide = live.select("ref_id", "occ64", "occ_bbox64", "patch", "patch_bbox", "regions", "fourier", "rad")
+    scores = wide.mapInPandas(_global(queries), "query_id long, ref_id long, global double")
+    short = search.ranked(ranking.cut_or_all(scores, "global", cut), most, (F.desc("global"), F.asc("ref_id"))).select("query_id", "ref_id")
+    columns = ["ref_id", "occ64", "occ32", "occ16", "patch", "hog", "fourier", "rad", "regions", "solidity", "points", "context"]
+    dims = short.join(live.select(*columns), "ref_id").repartition(tasks, "query_id").mapInPandas(_six(queries), "query_id long, ref_id long, dim string, score double").persist()
+    return search.ranked(ranking.fused(dims, ranking.adaptive_weights(dims, PRIOR)), k)

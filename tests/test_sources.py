@@ -113,3 +113,15 @@ def test_search_finds_turned_images_first(spark, tmp_path):
     full = I.ranked(rows, asked, None, net, blend=0).toPandas()
     assert len(full) == 3 * 6 and (full.groupby("query_id")["rank"].max() == 6).all()
     assert {int(r.query_id): int(r.ref_id) for r in full[full["rank"] == 1].itertuples()} == {k: ids[f"i{k}.png"] for k in range(3)}
+
+
+def test_search_by_shape(spark, tmp_path):
+    folder = tmp_path / "lib"
+    folder.mkdir()
+    _library(folder, 4)
+    rows = index.with_ids(I.described(images.contents(spark, images.files(spark, str(folder)), str(folder)), extra=True)).persist()
+    ids = {r["path"].rsplit("/", 1)[-1]: r["ref_id"] for r in rows.select("path", "ref_id").collect()}
+    asked = {k: I.describe(I.on_background(png.decode((folder / f"i{k}.png").read_bytes())), True, True) for k in range(2)}
+    got = I.expert_ranked(rows, asked, 2).collect()
+    assert {r["query_id"]: r["ref_id"] for r in got if r["rank"] == 1} == {k: ids[f"i{k}.png"] for k in range(2)}
+    assert len(I.expert_ranked(rows, asked, 9, cut=2.0).collect()) == 2 * 4  # nothing reaches the cut: all rows stay
