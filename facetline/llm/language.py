@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as kit
-from .shared import table
+from .shared import packed, table
 
 BITS = 16
 DIMENSIONS = 1 << BITS
@@ -164,7 +164,7 @@ def learned(documents: DataFrame, p: Params = Params()) -> Model | None:
     if not totals:
         return None
     idf = np.log((1 + sum(totals.values())) / np.ones(DIMENSIONS)) + 1
-    for r in rows.mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in rows.mapInArrow(kit.tidied(_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator():
         idf[r["feature"]] -= np.log(1 + r["n"])
     share = p.sample // len(totals)
     rate = F.lit(0)
@@ -179,7 +179,7 @@ def learned(documents: DataFrame, p: Params = Params()) -> Model | None:
 
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kit.unpacked(batches):
             for part in kit.slices(batch):
                 names, scores = [], []
                 for text in part.column("text").to_pylist():
@@ -202,9 +202,8 @@ def predicted(documents: DataFrame, model: Model | None) -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if there is no model. Equal texts
     have equal results; of equally likely languages the first by name is given; an empty table gives no rows."""
-    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(model), f"row {kind}, lang_pred string, score double")
+    rows, kind = packed(documents)
+    return rows.mapInArrow(kit.tidied(_predict(model)), f"row {kind}, lang_pred string, score double")
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import flac
 from . import textkit as kit
-from .shared import table
+from .shared import packed, table
 
 
 def payload(text: bytes) -> bytes:
@@ -23,7 +23,7 @@ def payload(text: bytes) -> bytes:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in kit.unpacked(batches):
         for part in kit.slices(batch, limit=1 << 20):
             texts = pc.fill_null(part.column("text").cast(pa.binary()), b"").to_pylist()
             streams = flac.encode([payload(t) for t in texts])
@@ -32,9 +32,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stored(documents: DataFrame) -> DataFrame:
     """row (a struct of all columns), n_bytes and media (the FLAC stream of the text's payload). Null texts are empty."""
-    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_store, f"row {kind}, n_bytes long, media binary")
+    rows, kind = packed(documents)
+    return rows.mapInArrow(kit.tidied(_store), f"row {kind}, n_bytes long, media binary")
 
 
 def _payloads(part: pa.RecordBatch) -> list[bytes]:
@@ -70,7 +69,7 @@ def described(media: DataFrame) -> DataFrame:
     """Digests of what the streams of ``stored`` hold once they are read back. A stream that doesn't match one of its
     checksums raises. Equal texts have equal values; an empty table gives no rows."""
     kind = media.schema["row"].dataType.simpleString()
-    return media.mapInArrow(_describe, f"row {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(kit.tidied(_describe), f"row {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

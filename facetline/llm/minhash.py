@@ -246,7 +246,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     spark = documents.sparkSession
     scratch = Scratch(spark, "minhash")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signs = scratch.put(texts.mapInArrow(_sign(p), "doc_id long, n_shingles long, digest_a long, digest_b long, keys array<long>, bits array<long>"), "signs")
+    signs = scratch.put(texts.mapInArrow(kit.tidied(_sign(p)), "doc_id long, n_shingles long, digest_a long, digest_b long, keys array<long>, bits array<long>"), "signs")
 
     same = ["n_shingles", "digest_a", "digest_b"]
     full = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -260,7 +260,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     few = ids.count() <= p.broadcast_ids
     chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     # a node stands for all texts with its set; one row of each set is enough
-    sets = scratch.put(chosen.mapInArrow(_sets(p), "node long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+    sets = scratch.put(chosen.mapInArrow(kit.tidied(_sets(p)), "node long, shingles array<long>").where(F.size("shingles") > 0), "sets")
 
     sides = [nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits")) for x in "ab"]
     stars = live.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -302,3 +302,24 @@ def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .shared import table
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id > b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)
+), ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT node, y FROM reached JOIN ways ON x = reach
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach) AS component_id, d.doc_id = min(reach) AS kept
+FROM documents d JOIN reached ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as kit
-from .shared import table
+from .shared import packed, table
 
 SPACE = "▁"
 #: stands for a U+2581 of the text itself, which is written as bytes; no valid text has a lone surrogate
@@ -345,7 +345,7 @@ def pieces(path: str) -> Pieces:
 def _encode(path: str, n: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
+        for batch in kit.unpacked(batches):
             for part in kit.slices(batch, limit=2 << 20):
                 texts = part.column("text")
                 starts, ids, scores = model.encode(texts, n)
@@ -376,10 +376,9 @@ def encoded(documents: DataFrame, path: str, n: int = 3, with_ids: bool = False)
 
     Null and empty texts have no tokens and the one score 0. Equal texts have equal results; an empty table gives no
     rows. ``path`` names the model's file on the executors."""
-    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    rows, kind = packed(documents)
     ids = ", ids array<int>" if with_ids else ""
-    return rows.mapInArrow(_encode(path, n, with_ids), f"row {kind}, n_tokens long, ids_crc32 long, scores array<double>, decoded_crc32 long, round_trip boolean{ids}")
+    return rows.mapInArrow(kit.tidied(_encode(path, n, with_ids)), f"row {kind}, n_tokens long, ids_crc32 long, scores array<double>, decoded_crc32 long, round_trip boolean{ids}")
 
 
 def op8_sentencepiece_nbest(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as kit
-from .shared import labelled, table
+from .shared import labelled, packed, table
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
@@ -107,7 +107,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in kit.unpacked(batches):
         for part in kit.slices(batch):
             counts = statistics(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(counts[name]) for name in COUNTS)], ["row", *COUNTS])
@@ -115,9 +115,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(documents: DataFrame) -> DataFrame:
     """row (a struct of all columns, whatever their names) and COUNTS."""
-    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_measure, f"row {kind}, " + ", ".join(f"{name} long" for name in COUNTS))
+    rows, kind = packed(documents)
+    return rows.mapInArrow(kit.tidied(_measure), f"row {kind}, " + ", ".join(f"{name} long" for name in COUNTS))
 
 
 def base_failed() -> Column:

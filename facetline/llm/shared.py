@@ -24,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS = 100_000
 
 
+_roots: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the folders of all calls so far, once nothing reads their results any more."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """A folder of one operator call: ``put`` writes a table and reads it back, which cuts lineage
     and survives lost executors; ``drop`` removes tables that are no longer read."""
@@ -31,6 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,10 +58,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name))
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:

@@ -5,7 +5,8 @@ Words are maximal runs of ``[^\\x20\\x09-\\x0D]``; a null text has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,28 @@ import xxhash
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of one struct column ``row`` with its field ``text`` as a column beside it; nothing is copied."""
+    for batch in batches:
+        row = batch.column("row")
+        yield pa.RecordBatch.from_arrays([row, row.field("text").cast(pa.string())], ["row", "text"])
+
+
+def tidied(run: Callable) -> Callable:
+    """``run``, after which memory that is free goes back to the system: workers live on and have other tasks next."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidy
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text (one long row stays whole)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as kit
-from .shared import labelled, table
+from .shared import labelled, packed, table
 
 #: symbols that the lexicon gives, and those that only transducers write
 OTHER, STRONG, WEAK, SURE, LIKELY, THREAT, TARGET, NEGATION, SAYING, INTENT, NEGATED, REPORTED, AIMED, MENACE = SYMBOLS = range(14)
@@ -199,7 +199,7 @@ def matches(texts: pa.Array, model: Model = Model()) -> np.ndarray:
 
 def _match(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kit.unpacked(batches):
             for part in kit.slices(batch):
                 found = matches(part.column("text"), model)
                 x = np.column_stack([np.log1p(found), np.ones(len(found))]) @ np.array(model.weights)
@@ -214,9 +214,8 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts match nothing and get the score of a text without matches; equal texts have equal scores; an
     empty table gives no rows."""
-    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_match(model), f"row {kind}, matched array<long>, score double")
+    rows, kind = packed(documents)
+    return rows.mapInArrow(kit.tidied(_match(model)), f"row {kind}, matched array<long>, score double")
 
 
 def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 50) -> np.ndarray:
