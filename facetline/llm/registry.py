@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_collapse": chat.OP5_SQL}
+    return {"op5_chat_collapse": chat.OP5_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
