@@ -289,7 +289,8 @@ def _explain(sample: DataFrame, p: Params) -> tuple[tuple[str, ...], tuple[str,
     for doc_id, w in toxic.mapInArrow(_beginnings(p, useful, ["doc_id", "beginning"]), "doc_id long, beginning string").toLocalIterator():
         sets[w].add(doc_id)
     sure = _cover({w: s for w, s in sets.items() if share[w] >= p.sure}, p)
-    likely = _cover({w: s for w, s in sets.items() if share[w] < p.sure}, p)
+    explained = set().union(*(sets[w] for w in sure))
+    likely = _cover({w: s - explained for w, s in sets.items() if share[w] < p.sure}, p)
     return tuple(sure), tuple(likely)
 
 
