@@ -36,7 +36,7 @@ MARKS = ".,;:!?|%&$*#\"')(-"
 LINES = re.compile("(\n)")
 NO_LOSS = float("inf")
 #: parts that are searched at once
-TOGETHER = 16_384
+TOGETHER = 8_192
 Edge = tuple[int, int, int, float]  # start, end, piece id (below 0: minus the code point of an unknown character), score
 
 
@@ -346,7 +346,7 @@ def _encode(path: str, n: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in kit.unpacked(batches):
-            for part in kit.slices(batch, limit=2 << 20):
+            for part in kit.slices(batch, limit=1 << 20):
                 texts = part.column("text")
                 starts, ids, scores = model.encode(texts, n)
                 raw = ids.astype("<u4")
