@@ -168,7 +168,7 @@ def adaptive_weights(spark, d):
 b AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ref_id) AS INTEGER) AS rank FROM a)
 SELECT query_id, ref_id, round(s, 6) AS score, rank FROM b WHERE rank <= 10""")
 def adaptive_fusion_topk(spark, d):
-    dims = _dims(_short(spark, d))
+    dims = _dims(_short(spark, d)).persist()  # six rows for each of a query's 50
     return K.ranked(R.fused(dims, R.adaptive_weights(dims, _PRIOR)), 10).select("query_id", "ref_id", _six("score"), "rank")
 
 
@@ -178,7 +178,7 @@ c AS (SELECT query_id, dim, max(top) - max(m) AS lead, sqrt(avg((score - m) * (s
 e2 AS (SELECT query_id, dim, CASE WHEN sp > 0 AND lead > 0 THEN lead / (sp + 1e-9) WHEN lead > 0 THEN lead ELSE 0 END AS raw FROM c)
 SELECT query_id, dim, round(CASE WHEN sum(raw) OVER w <= 1e-9 THEN 1.0::DOUBLE / count(*) OVER w ELSE raw / sum(raw) OVER w END, 6) AS weight FROM e2 WINDOW w AS (PARTITION BY query_id)""")
 def dispersion_weights(spark, d):
-    return R.dispersion_weights(_dims(_short(spark, d))).select("query_id", "dim", _six("weight"))
+    return R.dispersion_weights(_dims(_short(spark, d)).persist()).select("query_id", "dim", _six("weight"))
 
 
 @query(f"""WITH {_SHORT} SELECT query_id, ref_id, round(whole, 6) AS whole FROM (SELECT *, max(whole) OVER (PARTITION BY query_id) AS best FROM s WHERE ref_id <> query_id)

@@ -122,7 +122,8 @@ def ranked(index: DataFrame, queries: dict[int, dict], k: int | None = 5, networ
     index = index.where("error IS NULL")
     asked = spark.createDataFrame([(i, [float(x) for x in q["cheap"]]) for i, q in sorted(queries.items())], "id long, vector array<double>")
     most = index.count() if k is None else max(k, short)
-    cheap = search.top_k(index.select("ref_id", "cheap"), asked, cheap_scores, most).withColumnRenamed("score", "pref")
+    # a row for each query and place on its list: kept, as the short list and the rows behind it both read them
+    cheap = search.top_k(index.select("ref_id", "cheap"), asked, cheap_scores, most).withColumnRenamed("score", "pref").persist()
     if network is None:
         return cheap.where(F.col("rank") <= most if k is None else F.col("rank") <= k).select("query_id", "ref_id", F.col("pref").alias("score"), F.lit(2).alias("stage"), "rank")
     listed = cheap.where(F.col("rank") <= short).select("query_id", "ref_id", "pref")
@@ -135,7 +136,7 @@ def ranked(index: DataFrame, queries: dict[int, dict], k: int | None = 5, networ
     order = ranking.per_query().orderBy(F.desc("score"), F.desc("hist"), F.desc("gate"), "ref_id")
     first = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= refine)
     second = first.select("query_id", "ref_id").join(index.select("ref_id", "mask"), "ref_id").repartition(tasks, "query_id").mapInPandas(_contexts(queries), "query_id long, ref_id long, second double")
-    head = ranking.blended(scored.join(second, ["query_id", "ref_id"], "left"), refine, blend)
+    head = ranking.blended(scored.join(second, ["query_id", "ref_id"], "left"), refine, blend).select("query_id", "ref_id", "score", "rank").persist()
     return ranking.with_tail(head, cheap.select("query_id", "ref_id", "pref"), k)
 
 
