@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import ROWS, Scratch, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -129,9 +129,10 @@ def _tagged(documents: DataFrame, seed: int) -> DataFrame:
     ).withColumn("part", F.shiftrightunsigned("h", 56))
 
 
-def _cells(narrow: DataFrame, scratch: Scratch) -> DataFrame:
-    """For each (key, size, part): passes, and how many documents of it, in order of hash, get one more."""
-    parts = scratch.put(narrow.groupBy("key", "size", "part").agg(F.count("*").alias("n")), "parts")
+def _cells(narrow: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+    """For each (key, size, part): passes, and how many documents of it, in order of hash, get one more. There are as many
+    cells as ``rows`` at most."""
+    parts = scratch.put(narrow.groupBy("key", "size", "part").agg(F.count("*").alias("n")), "parts", rows)
     counts = parts.groupBy("key", "size").agg(F.sum("n").alias("n"))
     sources = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     named = sources.withColumn("source", F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)))
@@ -139,7 +140,7 @@ def _cells(narrow: DataFrame, scratch: Scratch) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = parts.withColumn("before", before).join(plan, ["key", "size"])
     more = F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before")))
-    return scratch.put(cells.select("key", "size", "part", "passes", more.alias("more"), "source_size", "target"), "cells")
+    return scratch.put(cells.select("key", "size", "part", "passes", more.alias("more"), "source_size", "target"), "cells", rows)
 
 
 def _decide(tagged: DataFrame, cells: DataFrame) -> DataFrame:
@@ -157,7 +158,8 @@ def mix(documents: DataFrame, seed: int = 17) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "mixing")
     narrow = _tagged(documents.select("doc_id", "text", "source"), seed).select(F.struct(F.col("row.doc_id").alias("doc_id")).alias("row"), "key", "size", "h", "part")
     narrow = scratch.put(narrow, "narrow")
-    done = _decide(narrow, _cells(narrow, scratch))
+    rows = narrow.count()
+    done = _decide(narrow, _cells(narrow, rows, scratch)).coalesce(max(1, -(-rows // ROWS)))
     return done.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -166,7 +168,7 @@ def mixed(documents: DataFrame, seed: int = 17) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "mixing")
     tagged = _tagged(documents, seed)
     narrow = scratch.put(tagged.select("key", "size", "part"), "narrow")
-    done = _decide(tagged, _cells(narrow, scratch)).where("copies > 0")
+    done = _decide(tagged, _cells(narrow, narrow.count(), scratch)).where("copies > 0")
     return done.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
