@@ -25,12 +25,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
-def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch, name: str, rows: int | None = None) -> DataFrame:
     """(node, label) for every node with an edge that isn't its component's least id; label is that least id.
 
-    ``edges`` has columns a and b, either way round; loops and repeats are ignored. No edges: no rows.
+    ``edges`` has columns a and b, either way round; loops and repeats are ignored. No edges: no rows. ``rows`` is about
+    their number, if that is known.
     """
-    now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0", rows)
     before, step = _state(now), 0
     while before[0]:
         step += 1

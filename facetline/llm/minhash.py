@@ -255,8 +255,9 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     buckets = nodes.select("node", F.explode("keys").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node"))["node"].alias("hub")).where("members > 1")
     live = scratch.put(buckets.join(hubs, "bucket"), "live")
+    bound = live.count()  # of narrow tables to come
 
-    ids = scratch.put(live.select(F.col("node").alias("doc_id")).distinct(), "ids")
+    ids = scratch.put(live.select(F.col("node").alias("doc_id")).distinct(), "ids", bound)
     few = ids.count() <= p.broadcast_ids
     chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     # a node stands for all texts with its set; one row of each set is enough
@@ -266,12 +267,12 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     stars = live.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = stars.join(sides[0], "a").join(sides[1], "b").where(_sizes_fit(p, "a_size", "b_size") & (_estimate(p) >= p.least_match(p.bands * p.rows))).select("a", "b")
     links = scratch.put(_confirm(stars, sets, p), "links-0")
-    labels = connected(links, scratch, "labels-0")
+    labels = connected(links, scratch, "labels-0", bound)
 
     for step, best_only in ((1, True), (2, False)):
         tagged = live.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         mixed = tagged.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "members")
-        mixed = scratch.put(tagged.join(mixed, "bucket"), f"mixed-{step}")
+        mixed = scratch.put(tagged.join(mixed, "bucket"), f"mixed-{step}", bound)
         many = mixed.where(F.col("members") > p.small)
         if step == 1:  # later buckets are among these
             fine = scratch.put(sets.join(many.select("node").distinct(), "node", "left_semi").mapInArrow(_fine(p), "node long, fine array<long>").dropDuplicates(["node"]), "fine")
@@ -285,7 +286,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
         pairs = scratch.put(pairs.select("a", "b").distinct(), f"pairs-{step}")
         more = _confirm(pairs, sets, p)
         links = scratch.put(links.union(more), f"links-{step}")
-        labels = connected(links, scratch, f"labels-{step}")
+        labels = connected(links, scratch, f"labels-{step}", bound)
 
     named = nodes.join(labels, "node", "left").select(*same, F.coalesce("label", "node").alias("component"))
     found = signs.select("doc_id", *same).join(named, same, "left").select(
@@ -293,7 +294,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
         "n_shingles",
         F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
-    done = scratch.put(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
+    done = scratch.put(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result", signs.count())
     scratch.drop("signs", "nodes", "live", "ids", "sets", "fine", "mixed-1", "mixed-2", "pairs-1", "pairs-2")
     return done
 
