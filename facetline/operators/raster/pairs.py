@@ -214,10 +214,15 @@ def prepared(q: dict) -> dict:
     return q | {"occ_turns": grid_turns(q["occ64"]), "patch_turns": grid_turns(q["patch"], centre=True)}
 
 
+def grids(q: dict, r: dict) -> tuple[float, float]:
+    """Of occupancy and of patches: at the best turn, or box on box."""
+    occ = max(best_dot(q["occ_turns"], r["occ64"]), cosine(q["occ_bbox64"], r["occ_bbox64"]))
+    return occ, max(best_dot(q["patch_turns"], r["patch"]), max(0.0, float(q["patch_bbox"] @ r["patch_bbox"])))
+
+
 def expert(q: dict, r: dict) -> float:
     """Weighted sum over grids, patches, regions, contour and radii."""
-    occ = max(best_dot(q["occ_turns"], r["occ64"]), cosine(q["occ_bbox64"], r["occ_bbox64"]))
-    near = max(best_dot(q["patch_turns"], r["patch"]), max(0.0, float(q["patch_bbox"] @ r["patch_bbox"])))
+    occ, near = grids(q, r)
     return 0.20 * occ + 0.20 * near + 0.20 * region_similarity(q["regions"], r["regions"]) + 0.25 * cosine(q["fourier"], r["fourier"]) + 0.15 * overlap(q["rad"], r["rad"])
 
 
@@ -229,19 +234,41 @@ def hog_shifts(q: np.ndarray, r: np.ndarray, bins: int = 9) -> float:
     return max(cosine(q, np.roll(r.reshape(-1, bins), k, axis=1).ravel()) for k in range(bins))
 
 
-def contour_similarity(q: dict, r: dict, most: int = 48, turns: int = 12) -> float:
-    """Shape contexts of the contours, matched at the best of some turns; 0 for shapes that are far from convex."""
-    if q["solidity"] < 0.4 or r["solidity"] < 0.4:
-        return 0.0
-    thin = lambda c: c[(np.arange(min(most, len(c))) * (len(c) / min(most, len(c)))).astype(np.int64)]
-    ref, best = thin(r["context"]), 0.0
+def _thinned(contexts: np.ndarray, most: int = 48) -> np.ndarray:
+    n = min(most, len(contexts))
+    return contexts[(np.arange(n) * (len(contexts) / max(n, 1))).astype(np.int64)]
+
+
+def contour_turns(points: np.ndarray, turns: int = 36) -> np.ndarray:
+    """(turns, thinned points, bins): shape contexts of a query's contour at each turn, made once for all references."""
+    out = []
     for k in range(turns):
         t = 2 * np.pi * k / turns
-        points = (q["points"] - 0.5) @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]]) + 0.5
-        cost = chi_squares(thin(log_polar(points, 5, 12, 0.1, 2.0, False).reshape(len(points), -1)), ref)
-        to = assignment(cost)
-        best = max(best, 1 - float(cost[np.arange(len(to)), to].mean()))
-    return best
+        turned = (points - 0.5) @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]]) + 0.5
+        out.append(_thinned(log_polar(turned, 5, 12, 0.1, 2.0, False).reshape(len(points), -1)))
+    return np.stack(out)
+
+
+def contour_similarity(q: dict, r: dict) -> float:
+    """Shape contexts of the contours, matched at the best of all turns; 0 for shapes that are far from convex."""
+    if min(q["solidity"], r["solidity"]) < 0.4 or len(q["points"]) < 2 or not len(r["context"]):
+        return 0.0
+    turns, ref = q["contour_turns"] if "contour_turns" in q else contour_turns(q["points"]), _thinned(r["context"])
+    costs = chi_squares(turns.reshape(-1, turns.shape[-1]), ref).reshape(*turns.shape[:2], -1)
+    if costs.shape[1] > costs.shape[2]:
+        costs = costs.transpose(0, 2, 1)
+    # no matching costs less than the nearest partners of the side that is matched whole and, if both are, what the
+    # other side's nearest cost beyond those
+    nearest = costs.min(axis=2)
+    bounds = nearest.sum(axis=1)
+    if costs.shape[1] == costs.shape[2]:
+        bounds = bounds + (costs - nearest[..., None]).min(axis=1).sum(axis=1)
+    best = float(costs.shape[1])  # where the similarity is 0
+    for k in np.argsort(bounds, kind="stable"):
+        if bounds[k] >= best:
+            break
+        best = min(best, float(costs[k][np.arange(costs.shape[1]), assignment(costs[k])].sum()))
+    return 1 - best / costs.shape[1]
 
 
 # -- feature pairs ------------------------------------------------------------------------------------------------------

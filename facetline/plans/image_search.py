@@ -179,6 +179,8 @@ def drawings(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame
 
 #: weights of the six dimensions before a query's own spread moves them
 PRIOR = {"occ": 0.20, "ncc": 0.20, "reg": 0.20, "hog": 0.10, "sc": 0.10, "fd": 0.20}
+#: columns that they read
+SIX = ("occ64", "occ_bbox64", "patch", "patch_bbox", "hog", "fourier", "regions", "solidity", "context")
 
 
 def _row(r, columns: tuple) -> dict:
@@ -205,9 +207,11 @@ def _six(queries: dict[int, dict]):
         for batch in batches:
             out = []
             for _, r in batch.iterrows():
-                q = ready.get(r["query_id"]) or ready.setdefault(r["query_id"], P.prepared(queries[r["query_id"]]))
-                ref = _row(r, ("occ64", "occ32", "occ16", "patch", "hog", "fourier", "rad", "regions", "solidity", "points", "context"))
-                v = (P.grid_similarity(q, ref), P.best_dot(q["patch_turns"], ref["patch"]), P.region_similarity(q["regions"], ref["regions"]), P.hog_shifts(q["hog"], ref["hog"]), P.contour_similarity(q, ref), P.cosine(q["fourier"], ref["fourier"]))
+                if r["query_id"] not in ready:
+                    q = queries[r["query_id"]]
+                    ready[r["query_id"]] = P.prepared(q) | {"contour_turns": P.contour_turns(q["points"])}
+                q, ref = ready[r["query_id"]], _row(r, SIX)
+                v = (*P.grids(q, ref), P.region_similarity(q["regions"], ref["regions"]), P.hog_shifts(q["hog"], ref["hog"]), P.contour_similarity(q, ref), P.cosine(q["fourier"], ref["fourier"]))
                 out += [(r["query_id"], r["ref_id"], dim, float(x)) for dim, x in zip(PRIOR, v, strict=True)]
             yield pd.DataFrame(out, columns=["query_id", "ref_id", "dim", "score"])
 
@@ -226,6 +230,5 @@ def expert_ranked(index: DataFrame, queries: dict[int, dict], k: int = 5, cut: f
     wide = live.select("ref_id", "occ64", "occ_bbox64", "patch", "patch_bbox", "regions", "fourier", "rad")
     scores = wide.mapInPandas(_global(queries), "query_id long, ref_id long, global double")
     short = search.ranked(ranking.cut_or_all(scores, "global", cut), most, (F.desc("global"), F.asc("ref_id"))).select("query_id", "ref_id")
-    columns = ["ref_id", "occ64", "occ32", "occ16", "patch", "hog", "fourier", "rad", "regions", "solidity", "points", "context"]
-    dims = short.join(live.select(*columns), "ref_id").repartition(tasks, "query_id").mapInPandas(_six(queries), "query_id long, ref_id long, dim string, score double").persist()
+    dims = short.join(live.select("ref_id", *SIX), "ref_id").repartition(tasks, "query_id").mapInPandas(_six(queries), "query_id long, ref_id long, dim string, score double").persist()
     return search.ranked(ranking.fused(dims, ranking.adaptive_weights(dims, PRIOR)), k)

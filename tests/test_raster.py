@@ -173,3 +173,31 @@ def test_context_bound_gives_the_least_cost():
         cost = P.chi_squares(own, ref)
         costs.append(cost[np.arange(len(own)), P.assignment(cost)].sum() / max(cost.shape))
     assert np.isclose(P.context_similarity(turns, ref), np.clip(1 - min(costs), 0, 1))
+
+
+def test_shape_dimensions_take_the_best_of_36_turns_or_the_box():
+    from facetline.plans import image_search as I
+
+    rng = np.random.default_rng(9)
+    a, b = (D.shape(np.kron(np.dstack([rng.integers(40, 200, (8, 8))] * 3 + [np.where(rng.random((8, 8)) > 0.4, 255, 0)]), np.ones((6, 6, 1))).astype(np.uint8)) for _ in range(2))
+    a["solidity"] = b["solidity"] = 1.0
+    ref, sims = P._thinned(b["context"]), []
+    for k in range(36):
+        t = np.pi * k / 18
+        turned = (a["points"] - 0.5) @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]]) + 0.5
+        cost = P.chi_squares(P._thinned(D.log_polar(turned, 5, 12, 0.1, 2.0, False).reshape(len(turned), -1)), ref)
+        sims.append(1 - cost[np.arange(len(cost)), P.assignment(cost)].mean())
+    assert int(np.argmax(sims)) % 3 and np.isclose(P.contour_similarity(a, b), max(sims))
+    row = pd_row(b)
+    got = {r.dim: r.score for batch in I._six({1: a})(iter([row])) for r in batch.itertuples()}
+    q = P.prepared(a)
+    assert np.isclose(got["occ"], max(max(q["occ_turns"] @ b["occ64"]), P.cosine(a["occ_bbox64"], b["occ_bbox64"])))
+    assert np.isclose(got["ncc"], max(0, max(q["patch_turns"] @ b["patch"]), a["patch_bbox"] @ b["patch_bbox"])) and np.isclose(got["sc"], max(sims))
+    turned = {**b, "occ64": np.rot90(a["occ64"].reshape(64, 64)).ravel(), "occ_bbox64": b["occ_bbox64"]}
+    assert next(I._six({1: a})(iter([pd_row(turned)]))).set_index("dim").score["occ"] > 0.999
+
+
+def pd_row(found):
+    import pandas as pd
+
+    return pd.DataFrame([{"query_id": 1, "ref_id": 2, **found}])
