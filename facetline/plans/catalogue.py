@@ -520,7 +520,7 @@ def shape_search_e2e(spark, d):
     asked = _table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding", "label").toLocalIterator()
     queries = {r["vec_id"]: I.describe(I.on_background(np.rot90(I.from_grid(r["embedding"], r["label"])).copy()), True, True) for r in asked}
     index = I.drawings(spark, d, True).persist()
-    return I.expert_ranked(index, {i: q for i, q in queries.items() if q and q.get("occ64") is not None}, 5, 0.5, 20).select("query_id", "ref_id", _six("score"), "rank")
+    return I.expert_ranked(index, {i: q for i, q in queries.items() if q and q.get("occ64") is not None}, 5).select("query_id", "ref_id", _six("score"), "rank")
 
 
 def _kernel(name: str, function, kind: str = "array<double>"):

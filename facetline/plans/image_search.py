@@ -218,7 +218,7 @@ def _six(queries: dict[int, dict]):
     return run
 
 
-def expert_ranked(index: DataFrame, queries: dict[int, dict], k: int = 5, cut: float = 0.5, most: int = 200) -> DataFrame:
+def expert_ranked(index: DataFrame, queries: dict[int, dict], k: int = 5, cut: float = 0.0, most: int = 200) -> DataFrame:
     """query_id, ref_id, score and rank by shape alone: a global score of every row, those that reach ``cut`` (all, if
     none does), the best ``most`` of them in six dimensions, whose weights each query's own spread sets.
 

@@ -125,3 +125,17 @@ def test_search_by_shape(spark, tmp_path):
     got = I.expert_ranked(rows, asked, 2).collect()
     assert {r["query_id"]: r["ref_id"] for r in got if r["rank"] == 1} == {k: ids[f"i{k}.png"] for k in range(2)}
     assert len(I.expert_ranked(rows, asked, 9, cut=2.0).collect()) == 2 * 4  # nothing reaches the cut: all rows stay
+
+
+def test_search_by_shape_weighs_200_rows(spark, monkeypatch):
+    import inspect
+
+    from facetline.plans import catalogue
+
+    asked = inspect.signature(I.expert_ranked).parameters
+    assert asked["cut"].default == 0.0 and asked["most"].default == 200
+    seen = []
+    monkeypatch.setattr(I, "drawings", lambda *a: spark.range(1))
+    monkeypatch.setattr(I, "expert_ranked", lambda index, queries, *a, **b: seen.append((a, b)) or spark.createDataFrame([(1, 2, 0.5, 1)], "query_id long, ref_id long, score double, rank int"))
+    catalogue.shape_search_e2e(spark, "/root/testdata/sf0.001")
+    assert seen == [((5,), {})]
