@@ -92,7 +92,7 @@ class Engine:
         """query_id, path, score and rank of the k best images for each query image; k of 0 or less means 5."""
         asked = {}
         for name, data in queries.items():
-            found = image_search.describe(images.decode(data, "", self.converter), True)
+            found = image_search.describe(images.decode_query(self.spark, data, self.converter), True)
             if found is None:
                 raise ValueError(f"query {name} shows nothing")
             asked[name] = found

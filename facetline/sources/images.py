@@ -1,14 +1,16 @@
 """Image folders: which files count, what they are, and how their bytes become rasters.
 
-PNG is decoded in the tasks. JPEG, GIF and BMP go through Spark's image source, which decodes in the JVM. All other kinds
-need a converter: a function (bytes, kind) -> PNG bytes, which travels with the task.
+PNG is decoded in the tasks. JPEG, GIF and BMP go through Spark's image source, which decodes in the JVM, by their
+extension; query images by their bytes. All other kinds need a converter: a function (bytes, kind) -> PNG bytes, which travels with the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,31 @@ def raster_of(image) -> np.ndarray:
     return out
 
 
+def decode_query(spark: SparkSession, data: bytes, converter: Converter | None = None) -> np.ndarray:
+    """As ``decode``, on the driver; JPEG, GIF and BMP by its JVM."""
+    if sniffed(data) not in ("jpeg", "gif", "bmp"):
+        return decode(data, "", converter)
+    io, out = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io.ByteArrayOutputStream()
+    found = io.read(spark._jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    if found is None or not io.write(found, "png", out):
+        return decode(data, "", converter)
+    return png.decode(bytes(out.toByteArray()))
+
+
+def _as_png(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"path": batch["path"].map(unquote), "as_png": [png.encode(raster_of(r)) for r in batch[["height", "width", "nChannels", "data"]].to_dict("records")]})
+
+
+def through_jvm(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
+    """``rows`` (path, content and others) with PNG as the content of the JPEG, GIF and BMP files under root. What the JVM
+    can't read keeps its content."""
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in JVM) + "}"
+    image = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("_metadata.file_path", "image.*").where("height > 0")
+    made = image.select(F.col("file_path").alias("path"), "height", "width", "nChannels", "data").mapInPandas(_as_png, "path string, as_png binary")
+    return rows.join(made, "path", "left").withColumn("content", F.coalesce("as_png", "content")).drop("as_png")
+
+
 def files(spark: SparkSession, root: str, exact: bool = False) -> DataFrame:
     """path, mtime and length of the supported files under root; folders that start with a dot are left out.
 
@@ -79,6 +106,7 @@ def files(spark: SparkSession, root: str, exact: bool = False) -> DataFrame:
 
 
 def contents(spark: SparkSession, found: DataFrame, root: str) -> DataFrame:
-    """``found`` with content, read by the tasks; the join is by path, and content is read for matching files only."""
+    """``found`` with content, read by the tasks; the join is by path, and content is read for matching files only. Kinds
+    that the JVM decodes come as PNG."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    return found.join(raw, "path")
+    return through_jvm(spark, found.join(raw, "path"), root)

@@ -1,4 +1,4 @@
-"""PNG in both directions with zlib alone: 8-bit grey, RGB, palette and alpha, not interlaced."""
+"""PNG in both directions with zlib alone. Reads all depths and interlacing; of 16 bits the upper 8 count."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import numpy as np
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: first column and row and steps of the seven passes of an interlaced image
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -49,6 +51,17 @@ def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
     return np.stack(out).astype(np.uint8) if out else np.empty((0, rows.shape[1] - 1), np.uint8)
 
 
+def _samples(raw: np.ndarray, w: int, h: int, n: int, depth: int) -> tuple[np.ndarray, int]:
+    """(h, w, n) values of an image or pass at the start of the bytes, and how many bytes it takes."""
+    width = -(-w * n * depth // 8)
+    x = _unfiltered(raw[: h * (1 + width)].reshape(h, 1 + width), max(1, n * depth // 8)).reshape(h, width)
+    if depth == 16:
+        x = x.reshape(h, -1, 2).astype(np.int64) @ np.array([256, 1])
+    elif depth < 8:
+        x = (x.astype(np.int64)[..., None] >> np.arange(8 - depth, -1, -depth) & ((1 << depth) - 1)).reshape(h, -1)
+    return x[:, : w * n].reshape(h, w, n), h * (1 + width)
+
+
 def decode(data: bytes) -> np.ndarray:
     """(h, w, 4) with straight alpha; raises ValueError for anything else than a sound PNG of the kinds above."""
     if data[:8] != SIGNATURE:
@@ -70,15 +83,22 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == b"IEND":
             break
         at += 12 + size
-    if head is None or head[2] != 8 or head[3] not in CHANNELS or head[6]:
+    if head is None or head[2] not in (1, 2, 4, 8, 16) or head[3] not in CHANNELS or head[6] > 1:
         raise ValueError("a PNG that isn't read here")
-    w, h, _, kind = head[:4]
+    w, h, depth, kind = head[:4]
     n = CHANNELS[kind]
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * n)
+        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
     except zlib.error as e:
         raise ValueError(str(e)) from e
-    x = _unfiltered(raw, n).reshape(h, w, n)
+    if head[6]:
+        x, at = np.zeros((h, w, n), np.int64), 0
+        for left, top, right, down in ADAM7:
+            if left < w and top < h:
+                x[top::down, left::right], size = _samples(raw[at:], -(-(w - left) // right), -(-(h - top) // down), n, depth)
+                at += size
+    else:
+        x = _samples(raw, w, h, n, depth)[0]
     out = np.full((h, w, 4), 255, np.uint8)
     if kind == 3:
         out[..., :3] = palette[x[..., 0]]
@@ -87,9 +107,10 @@ def decode(data: bytes) -> np.ndarray:
             table[: len(alpha)] = np.frombuffer(alpha, np.uint8)
             out[..., 3] = table[x[..., 0]]
     else:
-        out[..., :3] = x[..., :3] if n >= 3 else x[..., :1]
+        level = x >> 8 if depth == 16 else x * (255 // ((1 << depth) - 1))
+        out[..., :3] = level[..., :3] if n >= 3 else level[..., :1]
         if n in (2, 4):
-            out[..., 3] = x[..., -1]
+            out[..., 3] = level[..., -1]
         elif alpha:
             key = np.frombuffer(alpha, ">u2").astype(np.int64)
             out[..., 3] = np.where((x == key[None, None]).all(axis=-1), 0, 255)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import scalars as S
 from ..plans.image_search import described
+from ..sources import images
 from ..sources.index import Store, stale
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -24,7 +25,7 @@ def follow(spark: SparkSession, folder: str, store: Store, checkpoint: str, buil
     rows = arriving.where(S.supported("path")).withColumnRenamed("modificationTime", "mtime")
 
     def take_in(batch: DataFrame, _: int) -> None:
-        index = store.load()
+        batch, index = images.through_jvm(batch.sparkSession, batch, folder), store.load()
         if index is None:
             store.publish(build(batch))
             return

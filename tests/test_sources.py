@@ -139,3 +139,21 @@ def test_search_by_shape_weighs_200_rows(spark, monkeypatch):
     monkeypatch.setattr(I, "expert_ranked", lambda index, queries, *a, **b: seen.append((a, b)) or spark.createDataFrame([(1, 2, 0.5, 1)], "query_id long, ref_id long, score double, rank int"))
     catalogue.shape_search_e2e(spark, "/root/testdata/sf0.001")
     assert seen == [((5,), {})]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 16])
+@pytest.mark.parametrize("laced", [0, 1])
+def test_png_depths_and_interlacing(depth, laced):
+    import struct
+    import zlib
+
+    x = np.random.default_rng(depth).integers(0, 1 << depth, (11, 13))
+    body = b""
+    for left, top, right, down in png.ADAM7 if laced else ((0, 0, 1, 1),):
+        for row in x[top::down, left::right]:
+            bits = "".join(f"{v:0{depth}b}" for v in row)
+            bits += "0" * (-len(bits) % 8)
+            body += b"\0" + bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+    data = png.SIGNATURE + png._chunk(b"IHDR", struct.pack(">IIBBBBB", 13, 11, depth, 0, 0, 0, laced)) + png._chunk(b"IDAT", zlib.compress(body)) + png._chunk(b"IEND", b"")
+    want = x >> 8 if depth == 16 else x * 255 // ((1 << depth) - 1)
+    assert (png.decode(data)[..., :3] == want[..., None]).all()
