@@ -8,8 +8,9 @@ the symbols of a clause, and their composition is one table that reads a clause
     target     an insult within four words of a target is aimed
     threat     intent, then a threat, then a target, each within three words: a menace
 
-What matched in all clauses is scored by a logistic model whose weights start from the grammar's own and move with the
-labels. Beginnings of words join the lexicon where they explain labelled texts that no pattern matches: surely (next to
+The weight of a clause is the sum of its arcs' weights and that of its gravest insult. A text is scored by its best
+three clauses, in a logistic model whose weights start from the grammar's own, where words that nobody is called, that are
+negated or reported don't reach the threshold, and move with the labels. Beginnings of words join the lexicon where they explain labelled texts that no pattern matches: surely (next to
 no clean text has them) or likely.
 """
 
@@ -34,6 +35,8 @@ from .shared import labelled, packed, table
 #: symbols that the lexicon gives, and those that only transducers write
 OTHER, STRONG, WEAK, SURE, LIKELY, THREAT, TARGET, NEGATION, SAYING, INTENT, NEGATED, REPORTED, AIMED, MENACE = SYMBOLS = range(14)
 INSULTS = (STRONG, WEAK, SURE)
+#: of the gravest insult in a clause
+GRAVITY = {STRONG: 1.0, WEAK: 0.5, SURE: 1.0}
 MATCHED = (*INSULTS, LIKELY, AIMED, NEGATED, REPORTED, MENACE)
 
 LEXICON = {
@@ -123,18 +126,24 @@ def grammar() -> Fst:
     return _negation().then(_reported()).then(_target()).then(_threat())
 
 
-def read_clause(symbols: list[int], fst: Fst) -> list[int]:
-    state, out = 0, []
+def weighed_clause(symbols: list[int], fst: Fst) -> tuple[list[int], float]:
+    """What is written, and the weight of the way through."""
+    state, out, total = 0, [], max((GRAVITY.get(s, 0.0) for s in symbols), default=0.0)
     for symbol in symbols:
-        state, written, _ = fst.arcs[state][symbol]
+        state, written, weight = fst.arcs[state][symbol]
         out.append(written)
-    return out
+        total += weight
+    return out, total
+
+
+def read_clause(symbols: list[int], fst: Fst) -> list[int]:
+    return weighed_clause(symbols, fst)[0]
 
 
 @dataclass(frozen=True)
 class Model:
-    #: prior: those of MATCHED (over log1p of their counts), constant
-    weights: tuple[float, ...] = (7.5, 5.0, 7.0, 0.7, 8.0, 0.4, 1.2, 9.0, -4.0)
+    #: prior: best clause, the next two, log1p of the counts of SURE and LIKELY, constant
+    weights: tuple[float, ...] = (6.0, 0.5, 7.0, 0.7, -8.0)
     #: beginnings of words that give SURE and LIKELY
     sure: tuple[str, ...] = ()
     likely: tuple[str, ...] = ()
@@ -175,12 +184,13 @@ def _symbols(vocab: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return out, pc.match_substring_regex(vocab, ENDS).to_numpy(zero_copy_only=False)
 
 
-def matches(texts: pa.Array, model: Model = Model()) -> np.ndarray:
-    """(texts, MATCHED) counts of what the grammar finds in each whole text."""
+def found_in(texts: pa.Array, model: Model = Model()) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, MATCHED) counts of what the grammar finds in each whole text, and (texts, 3) weights of its best clauses,
+    0 at least."""
     words, fst = kit.words_of(texts), grammar()
-    out = np.zeros((len(texts), len(SYMBOLS)), np.int64)
+    out, best = np.zeros((len(texts), len(SYMBOLS)), np.int64), np.zeros((len(texts), 3))
     if not len(words.vocab):
-        return out[:, MATCHED]
+        return out[:, MATCHED], best
     symbols, ends = (x[words.codes] for x in _symbols(words.vocab, model))
     hits = np.flatnonzero(np.isin(symbols, (*INSULTS, LIKELY, THREAT)))
     owners = np.searchsorted(words.starts, hits, side="right") - 1
@@ -192,39 +202,55 @@ def matches(texts: pa.Array, model: Model = Model()) -> np.ndarray:
         k = np.searchsorted(edges, hit)
         first = max(int(words.starts[owner]), int(edges[k - 1]) + 1 if k else 0)
         done = min(int(words.starts[owner + 1]), int(edges[k]) + 1 if k < len(edges) else len(symbols))
-        for written in read_clause(symbols[first:done].tolist(), fst):
+        read, weight = weighed_clause(symbols[first:done].tolist(), fst)
+        for written in read:
             out[owner, written] += 1
-    return out[:, MATCHED]
+        if weight > best[owner, 2]:
+            best[owner] = sorted((*best[owner, :2], weight), reverse=True)
+    return out[:, MATCHED], best
+
+
+def matches(texts: pa.Array, model: Model = Model()) -> np.ndarray:
+    return found_in(texts, model)[0]
+
+
+def _inputs(counts: np.ndarray, best: np.ndarray) -> np.ndarray:
+    words = np.log1p(counts[:, [MATCHED.index(SURE), MATCHED.index(LIKELY)]])
+    return np.column_stack([best[:, 0], best[:, 1:].sum(axis=1), words, np.ones(len(counts))])
 
 
 def _match(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kit.unpacked(batches):
             for part in kit.slices(batch):
-                found = matches(part.column("text"), model)
-                x = np.column_stack([np.log1p(found), np.ones(len(found))]) @ np.array(model.weights)
+                found, best = found_in(part.column("text"), model)
+                x = _inputs(found, best) @ np.array(model.weights)
                 counts = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(MATCHED), pa.int32()), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), counts, pa.array(1 / (1 + np.exp(-x)))], ["row", "matched", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), counts, pa.array(best.tolist(), pa.list_(pa.float64())), pa.array(1 / (1 + np.exp(-x)))], ["row", "matched", "clauses", "score"])
 
     return run
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """row (a struct of all columns), matched (counts by MATCHED) and score of every row of ``documents``.
+    """row (a struct of all columns), matched (counts by MATCHED), clauses (the best weights) and score of every row of ``documents``.
 
     Null and empty texts match nothing and get the score of a text without matches; equal texts have equal scores; an
     empty table gives no rows."""
     rows, kind = packed(documents)
-    return rows.mapInArrow(kit.tidied(_match(model)), f"row {kind}, matched array<long>, score double")
+    return rows.mapInArrow(kit.tidied(_match(model)), f"row {kind}, matched array<long>, clauses array<double>, score double")
 
 
 def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic weights at the posterior mode: Newton's method, normal prior of unit variance."""
+    """Logistic weights at the posterior mode: Newton's method, steps halved until the loss falls, normal prior of unit
+    variance."""
+    loss = lambda w: float((np.logaddexp(0, x @ w) - y * (x @ w)).sum() + ((w - prior) ** 2).sum() / 2)
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(len(w)), x.T @ (p - y) + (w - prior))
-        w -= step
+        while loss(w - step) > loss(w) and np.abs(step).max() >= 1e-9:
+            step = step / 2
+        w = w - step
         if np.abs(step).max() < 1e-9:
             break
     return w
@@ -301,7 +327,7 @@ def learned(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Mo
     sample = labelled(documents.select("doc_id", "text"), labels, "toxic", p.sample, "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 <> 1")
 
     def rows(m: Model) -> pd.DataFrame:
-        return scored(sample, m).select("row.doc_id", "row.toxic", "matched").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
+        return scored(sample, m).select("row.doc_id", "row.toxic", "matched", "clauses").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
 
     found = rows(model)
     if not len(found):
@@ -312,7 +338,7 @@ def learned(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Mo
         model = replace(model, sure=sure, likely=likely)
         found = rows(model)
         counts = np.stack(found["matched"].to_numpy())
-    x = np.column_stack([np.log1p(counts), np.ones(len(counts))])
+    x = _inputs(counts, np.stack(found["clauses"].to_numpy()))
     return replace(model, weights=tuple(_fit(x, found["toxic"].to_numpy().astype(float), np.array(model.weights)).tolist()))
 
 

@@ -85,3 +85,19 @@ def test_words_that_explain_labels_are_learned(spark):
     assert any("zorgl".startswith(s) or s.startswith("zorgl") for s in model.sure)
     share = {r.toxic: r.p for r in T.scored(docs, model).select("row.doc_id", "score").join(labels, "doc_id").groupBy("toxic").agg(F.avg((F.col("score") >= 0.7).cast("int")).alias("p")).collect()}
     assert share == {0: 0, 1: 1}
+
+
+@pytest.mark.parametrize(("text", "toxic"), [
+    ("you idiot", True), ("you are stupid", True), ("i will kill you", True), ("the idiot sat", False), ("take out the trash. " + "fine words. " * 50 + "garbage day", False),
+    ("you are not an idiot. he is not a moron", False), ("he said you idiot. she called him a loser", False), ("i will not kill you", False),
+])
+def test_clause_weights_reach_the_score(spark, text, toxic):
+    got = T.scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), T.Model()).first()
+    assert (got.score >= T.Params().threshold) == toxic
+
+
+def test_composition_sums_weights():
+    assert T.weighed_clause([T.TARGET, T.STRONG], T.grammar())[1] == 2.0
+    assert T.weighed_clause([T.TARGET, T.NEGATION, T.STRONG], T.grammar())[1] == -1.0
+    assert T.weighed_clause([T.SAYING, T.TARGET, T.STRONG], T.grammar())[1] == 0.0
+    assert T.weighed_clause([T.INTENT, T.THREAT, T.TARGET], T.grammar())[1] == 2.0
