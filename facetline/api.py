@@ -36,7 +36,7 @@ class Engine:
 
     # -- building -------------------------------------------------------------------------------------------------------
 
-    def build(self, folder: str, exact: bool = False) -> int:
+    def build(self, folder: str, exact: bool = True) -> int:
         """Brings the index up to date with a folder; the number of rows that can be searched."""
         found = images.files(self.spark, folder, exact)
         self.store.refresh(found, lambda rows: image_search.described(images.contents(self.spark, rows, folder), self.converter))
@@ -51,7 +51,7 @@ class Engine:
 
         def run() -> None:
             try:
-                job.total = images.files(self.spark, folder).count()
+                job.total = images.files(self.spark, folder, True).count()
                 job.done = self.build(folder)
                 job.state = "done"
             except Exception as e:  # told by status()

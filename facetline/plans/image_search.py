@@ -62,6 +62,8 @@ def described(rows: DataFrame, converter: images.Converter | None = None, extra:
             for r in batch.itertuples(index=False):
                 row = {"path": r.path, "mtime": r.mtime, "length": r.length}
                 try:
+                    if r.content is None:
+                        raise ValueError("can't be read")
                     found = describe(images.decode(bytes(r.content), str(r.path).rpartition(".")[2], converter), False, extra)
                     row |= found if found else {"error": "nothing is covered"}
                 except Exception as e:  # of one file; it must not end the build

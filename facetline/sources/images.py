@@ -11,6 +11,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,8 +106,26 @@ def files(spark: SparkSession, root: str, exact: bool = False) -> DataFrame:
     return listed.select("path", F.timestamp_seconds("seconds").alias("mtime"), "length").where(S.supported("path"))
 
 
+def _hidden_read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(path: str) -> bytes | None:
+        try:
+            local = path.startswith(("file:", "/"))
+            files, name = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+            with files.open_input_file(name) as file:
+                return file.read()
+        except (OSError, ValueError):
+            return None
+
+    for batch in batches:
+        content = [read(p) if c is None else c for p, c in zip(batch["path"], batch["content"], strict=True)]
+        yield batch.assign(content=pd.Series(content, index=batch.index, dtype=object))
+
+
 def contents(spark: SparkSession, found: DataFrame, root: str) -> DataFrame:
-    """``found`` with content, read by the tasks; the join is by path, and content is read for matching files only. Kinds
-    that the JVM decodes come as PNG."""
+    """``found`` with content, read by the tasks; the join is by path, and content is read for matching files only. Files
+    that Spark's listing hides are read by path in the tasks; their content is null if that fails. Kinds that the JVM
+    decodes come as PNG."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    return through_jvm(spark, found.join(raw, "path"), root)
+    rows = found.join(raw, "path", "left")
+    kind = rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+    return through_jvm(spark, rows.mapInPandas(_hidden_read, kind), root)

@@ -157,3 +157,16 @@ def test_png_depths_and_interlacing(depth, laced):
     data = png.SIGNATURE + png._chunk(b"IHDR", struct.pack(">IIBBBBB", 13, 11, depth, 0, 0, 0, laced)) + png._chunk(b"IDAT", zlib.compress(body)) + png._chunk(b"IEND", b"")
     want = x >> 8 if depth == 16 else x * 255 // ((1 << depth) - 1)
     assert (png.decode(data)[..., :3] == want[..., None]).all()
+
+
+def test_hidden_files_are_read(spark, tmp_path):
+    tree = tmp_path / "tree"
+    for name in (".a.png", "_b.png", "_own/c d.png", "sub/.e.png", "f.png"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_bytes(tiny(8, 8))
+    from facetline.api import Engine
+
+    found = images.files(spark, str(tree), exact=True)
+    assert all(bytes(r.content) == tiny(8, 8) for r in images.contents(spark, found, str(tree)).collect())
+    e = Engine(spark, str(tmp_path / "index"))
+    assert e.build(str(tree)) == 5 and e.errors().count() == 0
