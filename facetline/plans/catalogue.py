@@ -581,7 +581,7 @@ def _own_context(raster) -> float:
     from ..operators.raster import descriptors, masks, pairs
 
     a, b = (descriptors.features(r, masks.library_coverage(r))["mask"] for r in (raster, np.rot90(raster).copy()))
-    return round(pairs.context_similarity(pairs.context_turns(a, 12), pairs.contexts(pairs.context_points(b))), 6)
+    return round(pairs.context_similarity(pairs.context_turns(a), pairs.contexts(pairs.context_points(b))), 6)
 
 
 for _name, _function, _kind in (

@@ -201,3 +201,11 @@ def pd_row(found):
     import pandas as pd
 
     return pd.DataFrame([{"query_id": 1, "ref_id": 2, **found}])
+
+
+def test_own_context_sweeps_36_turns(monkeypatch):
+    from facetline.plans import catalogue
+
+    seen, make = [], P.context_turns
+    monkeypatch.setattr(P, "context_turns", lambda *a: seen.append(make(*a)) or seen[-1])
+    assert catalogue._own_context(square()) > 0.5 and len(seen[0]) == 36
