@@ -1,10 +1,11 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Per source: whole passes over it, then a subset of its documents for the rest of the budget. Documents are counted by
-exact length; each length gives its share of the rest, rounded down, and the few words that are still missing are filled
-by bounded-knapsack dynamic programming over the lengths that are left. Which documents of a length are taken is decided
-by a seeded hash: counts of 256 hash ranges of each (source, length) tell where its number is reached, so neither a
-source nor a length ever meets in one task.
+exact length; each length gives its share of the budget but for a range of words, and that range is filled by
+bounded-knapsack dynamic programming over the documents that are left. A range that isn't filled to the word is doubled
+until it is, or holds the whole budget. Which documents of a length are taken is decided by a seeded hash: all up to a
+cut. Counts of hash ranges, as many as the rows need, tell in which range the cut of each (source, length) lies, and only
+the rows of that range are put in order, so neither a source nor a length ever meets in one task.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ROWS, Scratch, table
+from .shared import Scratch, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-#: largest rest of a budget, in words, that the dynamic programme fills; larger rests are first brought below it
-REST = 1 << 16
-#: documents of each length that were taken by share and may still go
-BACK = 16
+#: words that the dynamic programme fills at first, and the most it goes up to (4 bytes of memory each)
+RANGE, MOST_RANGE = 1 << 16, 1 << 26
+#: rows of a hash range, on average, if all were of one length
+RANGE_ROWS = 1 << 16
+#: (source, length) pairs are broadcast up to this number; beyond it, they are joined by shuffle
+BROADCAST = 500_000
 
 
 def words_in(text: str = "text") -> Column:
@@ -55,40 +58,39 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Number of documents of each length whose lengths sum to ``budget``, or to little less. Lengths are distinct."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = MOST_RANGE) -> np.ndarray:
+    """Number of documents of each length whose lengths sum to ``budget``, or to the largest sum below it. Lengths are
+    distinct.
+
+    The sum is the largest one possible if it is the budget (rounded down to a multiple of all lengths' divisor), or if
+    the range that was searched, at most ``most`` words and the longest length, held the whole budget."""
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = sum(int(x) * int(n) for x, n in zip(lengths, counts, strict=True))
     if budget <= 0 or not total:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(n) * budget // total for n in counts], np.int64)
-    rest = budget - sum(int(x) * int(n) for x, n in zip(lengths, taken, strict=True))
+    unit = int(np.gcd.reduce(lengths))
+    lengths, budget, total = lengths // unit, budget // unit, total // unit
+    span, best, least = RANGE, np.zeros(len(lengths), np.int64), budget + 1
     order = np.argsort(-lengths, kind="stable")
-    for most in (1, None):  # one more of each length first, so that no length stands out
-        for i in order:
-            length, left = int(lengths[i]), int(counts[i] - taken[i])
-            if length and left and rest > REST // 2:
-                many = min(left, (rest - REST // 2) // length, most or left)
-                taken[i] += many
-                rest -= many * length
-    if rest > REST:  # only lengths over REST // 2 are left that far: the longest that fits
-        for i in order:
-            if 0 < lengths[i] <= rest and taken[i] < counts[i]:
+    while True:
+        share = max(0, budget - span)
+        taken = np.array([int(n) * share // total for n in counts], np.int64)
+        rest = budget - sum(int(x) * int(n) for x, n in zip(lengths, taken, strict=True))
+        for i in order:  # one more of each length, so that no length stands out
+            if share and taken[i] < counts[i] and rest - int(lengths[i]) >= span:
                 taken[i] += 1
                 rest -= int(lengths[i])
-                break
-    for i in order[::-1]:  # some go back, the shortest first, so that the programme has more to choose from
-        if 0 < rest < REST and lengths[i]:
-            many = min(int(taken[i]), BACK, (REST - rest) // int(lengths[i]))
-            taken[i] -= many
-            rest += many * int(lengths[i])
-    small = np.flatnonzero((lengths > 0) & (lengths <= rest) & (taken < counts))
-    if len(small) and rest <= REST:
-        small = small[np.argsort(-lengths[small], kind="stable")]
-        taken[small] += _knapsack(lengths[small], counts[small] - taken[small], rest)
-    return taken
+        small = order[(lengths[order] > 0) & (lengths[order] <= rest) & (taken[order] < counts[order])]
+        more = _knapsack(lengths[small], counts[small] - taken[small], rest)
+        taken[small] += more
+        rest -= sum(int(x) * int(n) for x, n in zip(lengths[small], more, strict=True))
+        if rest < least:
+            best, least = taken, rest
+        if not rest or not share or span >= most:
+            return best
+        span *= 8
 
 
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
@@ -124,28 +126,52 @@ def _tagged(documents: DataFrame, seed: int) -> DataFrame:
     """With key (a source's name that is never null), size and the seeded hash."""
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     key = F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
-    return documents.select(
-        F.struct("*").alias("row"), key.alias("key"), words_in().alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64(text)).alias("h")
-    ).withColumn("part", F.shiftrightunsigned("h", 56))
+    return documents.select(F.struct("*").alias("row"), key.alias("key"), words_in().alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64(text)).alias("h"))
+
+
+def _before(n: Column | str, by: Window) -> Column:
+    return F.coalesce(F.sum(n).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _cells(narrow: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
-    """For each (key, size, part): passes, and how many documents of it, in order of hash, get one more. There are as many
-    cells as ``rows`` at most."""
-    parts = scratch.put(narrow.groupBy("key", "size", "part").agg(F.count("*").alias("n")), "parts", rows)
+def _plan(narrow: DataFrame, scratch: Scratch) -> DataFrame:
+    """For each (key, size): passes; cut, up to which hash one more is taken (null: none); many rows have just that hash,
+    and ties of them are taken."""
+    rows = narrow.count()
+    bits = max(0, (-(-rows // RANGE_ROWS) - 1).bit_length())
+    placed = narrow.withColumn("part", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    parts = scratch.put(placed.groupBy("key", "size", "part").agg(F.count("*").alias("n")), "parts", rows)
     counts = parts.groupBy("key", "size").agg(F.sum("n").alias("n"))
     sources = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     named = sources.withColumn("source", F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)))
-    plan = counts.join(targets(named), "key").groupBy("key").applyInPandas(_fit_source, "key string, size long, passes long, extra long, source_size long, target double")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = parts.withColumn("before", before).join(plan, ["key", "size"])
-    more = F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before")))
-    return scratch.put(cells.select("key", "size", "part", "passes", more.alias("more"), "source_size", "target"), "cells", rows)
-
-
-def _decide(tagged: DataFrame, cells: DataFrame) -> DataFrame:
-    order = Window.partitionBy("key", "size", "part").orderBy("h", F.col("row.doc_id"))
-    return tagged.withColumn("turn", F.row_number().over(order)).join(cells, ["key", "size", "part"]).withColumn("copies", F.col("passes") + (F.col("turn") <= F.col("more")).cast("long"))
+    budgets = counts.join(targets(named), "key").groupBy("key").applyInPandas(_fit_source, "key string, size long, passes long, extra long, source_size long, target double")
+    budgets = scratch.put(budgets, "budgets", rows)
+    few = budgets.count() <= BROADCAST
+    of_length = Window.partitionBy("key", "size")
+    last = parts.join(budgets.select("key", "size", "extra"), ["key", "size"]).withColumn("before", _before("n", of_length.orderBy("part")))
+    last = last.where("before < extra AND extra <= before + n").select("key", "size", "part", (F.col("extra") - F.col("before")).alias("wanted"))
+    in_part = placed.join(F.broadcast(last) if few else last, ["key", "size", "part"]).groupBy("key", "size", "h").agg(F.count("*").alias("many"), F.max("wanted").alias("wanted"))
+    cuts = in_part.withColumn("before", _before("many", of_length.orderBy("h"))).where("before < wanted AND wanted <= before + many")
+    cuts = cuts.select("key", "size", F.col("h").alias("cut"), "many", (F.col("wanted") - F.col("before")).alias("ties"))
+    plan = scratch.put(budgets.drop("extra").join(cuts, ["key", "size"], "left"), "plan", rows)
+    scratch.drop("parts", "budgets")
+    return plan
+
+
+def _decided(tagged: DataFrame, plan: DataFrame) -> DataFrame:
+    """``tagged`` with the columns of its plan, and copies. Only where rows with the very same hash are taken in part are
+    those, and no others, numbered."""
+    few = plan.count() <= BROADCAST
+    parted = F.col("cut").isNotNull() & (F.col("h") == F.col("cut")) & (F.col("ties") < F.col("many"))
+
+    def copies(more: Column) -> Column:
+        return F.col("passes") + F.coalesce(more, F.lit(False)).cast("long")
+
+    each = tagged.join(F.broadcast(plan) if few else plan, ["key", "size"])
+    if plan.where("ties < many").isEmpty():
+        return each.withColumn("copies", copies(F.col("h") <= F.col("cut")))
+    turn = F.row_number().over(Window.partitionBy("key", "size").orderBy(F.xxhash64(F.to_json("row"))))
+    plain = each.where(~F.coalesce(parted, F.lit(False))).withColumn("copies", copies(F.col("h") <= F.col("cut")))
+    return plain.unionByName(each.where(parted).withColumn("turn", turn).withColumn("copies", copies(F.col("turn") <= F.col("ties"))).drop("turn"))
 
 
 def mix(documents: DataFrame, seed: int = 17) -> DataFrame:
@@ -156,19 +182,19 @@ def mix(documents: DataFrame, seed: int = 17) -> DataFrame:
     rows are interchangeable. An empty table gives no rows.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
-    narrow = _tagged(documents.select("doc_id", "text", "source"), seed).select(F.struct(F.col("row.doc_id").alias("doc_id")).alias("row"), "key", "size", "h", "part")
-    narrow = scratch.put(narrow, "narrow")
-    rows = narrow.count()
-    done = _decide(narrow, _cells(narrow, rows, scratch)).coalesce(max(1, -(-rows // ROWS)))
+    narrow = scratch.put(_tagged(documents.select("doc_id", "text", "source"), seed).select(F.struct(F.col("row.doc_id").alias("doc_id")).alias("row"), "key", "size", "h"), "narrow")
+    done = _decided(narrow, _plan(narrow.drop("row"), scratch))
     return done.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(documents: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of ``documents`` as the mix takes them: each as often as its copies say, all columns kept."""
+    """The rows of ``documents`` as the mix takes them: each as often as its copies say, all columns kept. Rows are decided
+    where they lie: what is joined to them is a row for each (source, length)."""
     scratch = Scratch(documents.sparkSession, "mixing")
     tagged = _tagged(documents, seed)
-    narrow = scratch.put(tagged.select("key", "size", "part"), "narrow")
-    done = _decide(tagged, _cells(narrow, narrow.count(), scratch)).where("copies > 0")
+    narrow = scratch.put(tagged.select("key", "size", "h"), "narrow")
+    done = _decided(tagged, _plan(narrow, scratch)).where("copies > 0")
+    scratch.drop("narrow")
     return done.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 

@@ -72,6 +72,44 @@ def test_fit_of_large_budgets_is_near():
     assert fit(np.array([10**6]), np.array([3]), 2 * 10**6 + 5).tolist() == [2]
 
 
+def reachable(lengths, counts, budget):
+    """The largest sum of at most ``budget``, by a bit for each sum."""
+    bits = 1
+    for length, count in zip(lengths, counts, strict=True):
+        for _ in range(count):
+            bits |= bits << length
+    return (bits & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def test_fit_of_long_documents_reaches_the_best_sum():
+    lengths, counts = [70001, 70003, 90007, 131001], [50] * 4
+    for budget in (200_000, 500_000, 5_000_000, 17_000_003):
+        assert (fit(lengths, counts, budget) * np.array(lengths)).sum() == reachable(lengths, counts, budget)
+    rng = np.random.default_rng(7)
+    for _ in range(15):
+        lengths = np.unique(rng.integers(60_000, 400_000, rng.integers(1, 6)))
+        counts = rng.integers(1, 30, len(lengths))
+        budget = int(rng.integers(0, int((lengths * counts).sum())))
+        taken = fit(lengths, counts, budget)
+        assert (taken <= counts).all() and (taken * lengths).sum() == reachable(lengths.tolist(), counts.tolist(), budget)
+
+
+def test_rows_with_one_hash_are_taken_in_part(spark):
+    rows = [(7, "w w w", "a")] * 40 + [(8, "w w", "a")] * 30 + [(9, "w " * 500, "b")] + [(i, "w w w w", "b") for i in range(10, 40)]
+    got = mix(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    want = targets({"a": 180, "b": 620})
+    for i in (7, 8):
+        assert len([r for r in got if r.doc_id == i]) == (40 if i == 7 else 30)
+    for source, ids in (("a", {7, 8}), ("b", {9, *range(10, 40)})):
+        short = want[source] - sum(r.taken for r in got if r.doc_id in ids)
+        assert -0.5 <= short <= 3, (source, short)
+    out = mixed(spark.createDataFrame(rows, SCHEMA)).groupBy("doc_id").count().collect()
+    copies = {}
+    for r in got:
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
+    assert {r.doc_id: r["count"] for r in out} == {i: c for i, c in copies.items() if c}
+
+
 def test_mixed_repeats_rows_with_all_columns(spark):
     rows = [(*r, r[0]) for r in corpus(3, 120)]
     df = spark.createDataFrame(rows, SCHEMA + ", size long")
