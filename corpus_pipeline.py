@@ -6,7 +6,7 @@ minima and lattices can't be stated in it, so the tests hold the stages against
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetline.llm import minhash, mixing, pieces, quality, toxicity
@@ -26,12 +26,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: that of the least doc_id, of rows that share it that of the least text.
-    Rows without a doc_id belong to no group and stay."""
-    found = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    chosen = docs.join(found, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), first.alias("place")).where("place = 1").select("row.*")
-    return chosen.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near-duplicates: that of the least doc_id. Rows without a doc_id, or without words, belong
+    to no group and stay; rows that share a doc_id but not a text are judged each by its own text."""
+    return minhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

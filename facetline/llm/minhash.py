@@ -8,8 +8,10 @@
    full sets, and confirmed links are contracted into components.
 4. What is left are bucket members of different components. Small buckets are joined with themselves; large ones are cut
    into blocks, each pair of blocks is one group, and within it all pairs are compared on packed bits of 1,024 minima.
-   First the best pair of every two components is confirmed and contracted, then every pair that is left and not ruled
-   out. Nothing is capped.
+   Members of a bucket's largest component have blocks of their own, which never meet each other. First the best pair of
+   every two components is confirmed and contracted, then every pair that is left and not ruled out. Nothing is capped.
+
+A node is a set of shingles with a number of its own; doc_ids, which rows with other texts may share, come back at the end.
 
 The smaller of two probabilities of losing a link decides how far below the threshold an estimate must lie: 4.5 standard
 deviations. A pair at exactly 0.75 shares no band with probability (1 - 0.75**4)**32, about 5e-6.
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as kit
@@ -42,7 +44,7 @@ class Params:
     rows: int = 4
     fine: int = 1024
     sigmas: float = 4.5
-    block: int = 2048
+    block: int = 512
     #: buckets of up to so many members are joined with themselves on the short packed bits; larger ones go block by block
     small: int = 64
     #: ids of candidate documents are broadcast up to this number (8 bytes each); beyond it, they are joined by shuffle
@@ -115,24 +117,32 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1).view(np.int64)))
 
 
+def _digests(cuts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, in two longs; 0 of an empty one."""
+    live = np.flatnonzero(np.diff(cuts))
+    out = np.zeros((2, len(cuts) - 1), np.uint64)
+    for k in (1, 2):
+        if len(live):
+            out[k - 1, live] = np.add.reduceat(kit.mix64(hashes + np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)), cuts[live])
+    return out[0], out[1]
+
+
 def _sign(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kit.slices(batch, limit=1 << 20):
-                cuts, hashes = shingle_sets(part.column(1), p.width)
+                cuts, hashes = shingle_sets(part.column("text"), p.width)
                 sizes = np.diff(cuts)
                 live = np.flatnonzero(sizes)
-                first, second = np.zeros((2, len(sizes)), np.uint64)
+                first, second = _digests(cuts, hashes)
                 keys = bits = np.empty(0, np.uint64)
                 if len(live):
-                    for k, out in ((1, first), (2, second)):
-                        out[live] = np.add.reduceat(kit.mix64(hashes + np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)), cuts[live])
                     least = minima(np.append(cuts[live], cuts[-1]), hashes, p.bands * p.rows, p.seed)
                     keys, bits = band_keys(least, p.bands, p.rows), packed(least)
                 full = (sizes > 0).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), _lists(keys, full * p.bands), _lists(bits, full * (p.bands * p.rows // 16))],
-                    ["doc_id", "n_shingles", "digest_a", "digest_b", "keys", "bits"],
+                    [part.column("doc_id"), part.column("mark"), pa.array(sizes), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), _lists(keys, full * p.bands), _lists(bits, full * (p.bands * p.rows // 16))],
+                    ["doc_id", "mark", "n_shingles", "digest_a", "digest_b", "keys", "bits"],
                 )
 
     return run
@@ -142,8 +152,8 @@ def _sets(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kit.slices(batch, limit=1 << 20):
-                cuts, hashes = shingle_sets(part.column(1), p.width)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(hashes, np.diff(cuts))], ["node", "shingles"])
+                cuts, hashes = shingle_sets(part.column("text"), p.width)
+                yield pa.RecordBatch.from_arrays([part.column("node"), _lists(hashes, np.diff(cuts))], ["node", "shingles"])
 
     return run
 
@@ -235,9 +245,20 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * common >= p.percent * (total - common)).select("a", "b").distinct()
 
 
-def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row for each row of ``documents`` (columns doc_id and text; others are ignored): doc_id, n_shingles,
-    component_id (least doc_id reachable over links) and kept (doc_id = component_id).
+def _blocks(mixed: DataFrame, p: Params) -> DataFrame:
+    """The rows of large buckets with block (from 0, the blocks of the bucket's largest component first) and other, once
+    for each block that a row's block is compared with."""
+    blocks = {c: F.ceil(F.col(c) / p.block).cast("int") for c in ("most", "others")}
+    rows = mixed.where(F.col("members") > p.small).withColumn("others", F.col("members") - F.col("most"))
+    spread = F.xxhash64("node")
+    own = F.when(F.col("label") == F.col("main"), F.pmod(spread, blocks["most"])).otherwise(blocks["most"] + F.pmod(spread, blocks["others"])).cast("int")
+    first = F.when(F.col("label") == F.col("main"), blocks["most"]).otherwise(F.lit(0))
+    return rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(first, blocks["most"] + blocks["others"] - 1)))
+
+
+def grouped(documents: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row for each row of ``documents`` (columns doc_id and text; others are ignored): doc_id, mark (a hash of the
+    text), n_shingles, component_id, kept, and first: has the row the doc_id and the text that stand for its component?
 
     Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows with a null
     doc_id are linked with nothing, are kept and have a null component_id. Repeated rows have equal results; rows that
@@ -245,23 +266,28 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "minhash")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signs = scratch.put(texts.mapInArrow(kit.tidied(_sign(p)), "doc_id long, n_shingles long, digest_a long, digest_b long, keys array<long>, bits array<long>"), "signs")
+    text = F.col("text").cast("string")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), marked(text).alias("mark"))
+    signs = scratch.put(texts.mapInArrow(kit.tidied(_sign(p)), "doc_id long, mark long, n_shingles long, digest_a long, digest_b long, keys array<long>, bits array<long>"), "signs")
 
     same = ["n_shingles", "digest_a", "digest_b"]
     full = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = scratch.put(full.groupBy(same).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes")
+    nodes = full.groupBy(same).agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    # numbers are given once, when the table is written
+    nodes = scratch.put(nodes.select(F.monotonically_increasing_id().alias("node"), *same, "least.doc_id", "least.mark", "keys", "bits"), "nodes")
 
     buckets = nodes.select("node", F.explode("keys").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node"))["node"].alias("hub")).where("members > 1")
     live = scratch.put(buckets.join(hubs, "bucket"), "live")
     bound = live.count()  # of narrow tables to come
 
-    ids = scratch.put(live.select(F.col("node").alias("doc_id")).distinct(), "ids", bound)
-    few = ids.count() <= p.broadcast_ids
-    chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    # a node stands for all texts with its set; one row of each set is enough
+    alone = nodes.select("node", "doc_id", "mark")
+    ids = scratch.put(alone.join(live.select("node").distinct(), "node", "left_semi"), "ids", bound)
+    wanted = ids.count()
+    chosen = texts.join(F.broadcast(ids) if wanted <= p.broadcast_ids else ids, ["doc_id", "mark"]).select("node", "text")
     sets = scratch.put(chosen.mapInArrow(kit.tidied(_sets(p)), "node long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+    if sets.count() > wanted:  # repeated rows; one set of each is enough
+        sets = scratch.put(sets.dropDuplicates(["node"]), "sets-once")
 
     sides = [nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits")) for x in "ab"]
     stars = live.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -271,15 +297,14 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
 
     for step, best_only in ((1, True), (2, False)):
         tagged = live.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = tagged.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "members")
-        mixed = scratch.put(tagged.join(mixed, "bucket"), f"mixed-{step}", bound)
-        many = mixed.where(F.col("members") > p.small)
+        parts = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
+        mixed = parts.agg(F.sum("n").alias("members"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("main")).where("labels > 1")
+        mixed = scratch.put(tagged.join(mixed.select("bucket", "members", F.col("main.n").alias("most"), F.col("main.label").alias("main")), "bucket"), f"mixed-{step}", bound)
         if step == 1:  # later buckets are among these
-            fine = scratch.put(sets.join(many.select("node").distinct(), "node", "left_semi").mapInArrow(_fine(p), "node long, fine array<long>").dropDuplicates(["node"]), "fine")
-        count = F.ceil(F.col("members") / p.block).cast("int")
-        rows = many.join(nodes, "node").join(fine, "node").select("bucket", "members", "node", "label", F.col("n_shingles").alias("size"), "keys", F.col("fine").alias("bits"))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "size", "bits", "keys")
+            many = mixed.where(F.col("members") > p.small).select("node").distinct()
+            fine = scratch.put(sets.join(many, "node", "left_semi").mapInArrow(_fine(p), "node long, fine array<long>"), "fine")
+        rows = _blocks(mixed, p).join(nodes, "node").join(fine, "node")
+        rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", F.col("n_shingles").alias("size"), F.col("fine").alias("bits"), "keys")
         pairs = rows.groupBy("bucket", "i", "j").applyInPandas(_pairs(p, best_only), "a long, b long, low long, high long, match double").union(_small_pairs(mixed, nodes, p))
         if best_only:
             pairs = pairs.groupBy("low", "high").agg(F.max_by(F.struct("a", "b"), F.struct("match", "a", "b")).alias("best")).select("best.a", "best.b")
@@ -288,17 +313,55 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
         links = scratch.put(links.union(more), f"links-{step}")
         labels = connected(links, scratch, f"labels-{step}", bound)
 
-    named = nodes.join(labels, "node", "left").select(*same, F.coalesce("label", "node").alias("component"))
-    found = signs.select("doc_id", *same).join(named, same, "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
-    done = scratch.put(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result", signs.count())
-    scratch.drop("signs", "nodes", "live", "ids", "sets", "fine", "mixed-1", "mixed-2", "pairs-1", "pairs-2")
+    named = nodes.select("node", *same, "doc_id", "mark").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    firsts = named.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("least"))
+    named = named.join(firsts, "label").select(*same, F.col("least.doc_id").alias("component"), F.col("least.mark").alias("first_mark"))
+    named = scratch.put(named, "named", signs.count())
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    found = signs.select("doc_id", "mark", *same).join(named, same, "left")
+    found = found.select("doc_id", "mark", "n_shingles", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("first_mark")).otherwise(F.col("mark")).alias("first_mark"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    found = found.select("doc_id", "mark", "n_shingles", "component_id", kept.alias("kept"), (kept & F.col("first_mark").eqNullSafe(F.col("mark"))).alias("first"))
+    done = scratch.put(found, "result", signs.count())
+    scratch.drop("signs", "nodes", "live", "ids", "sets", "sets-once", "fine", "mixed-1", "mixed-2", "pairs-1", "pairs-2", "links-0", "links-1", "links-2", "labels-0", "labels-1", "labels-2", "named")
     return done
 
 
+def marked(text: Column) -> Column:
+    """A hash of a text (null: 42, its seed)."""
+    return F.xxhash64(text)
+
+
+def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept (doc_id = component_id) of each row
+    of ``documents``, as ``grouped`` finds them."""
+    return grouped(documents, p).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(documents: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row of each group of near-duplicates, all columns kept: of the least doc_id, of rows that share it one text, of
+    rows with that text one. Rows without a doc_id, or without words, belong to no group and stay."""
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "one-of-each")
+    rows = grouped(documents, p)
+    counts = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "mark").agg(F.first("first").alias("first"), F.count("*").alias("many")).where("NOT first OR many > 1")
+    counts = scratch.put(counts, "counts")
+    lost, many = counts.where("NOT first").select("doc_id", "mark"), counts.where("first").select("doc_id", "mark")
+    few = counts.count() <= p.broadcast_ids
+    mark = marked(F.col("text").cast("string"))
+
+    def without(out: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+        gone = F.broadcast(gone) if few else gone
+        return out.join(gone, (out["_row.doc_id"].cast("long") == gone["doc_id"]) & (out["_mark"] == gone["mark"]), how)
+
+    out = documents.select(F.struct("*").alias("_row"), mark.alias("_mark"))
+    stay = without(out, lost)
+    if many.isEmpty():
+        return stay.select("_row.*")
+    turn = F.row_number().over(Window.partitionBy("_row.doc_id", "_mark").orderBy("_mark"))
+    return without(stay, many).select("_row.*").unionByName(without(stay, many, "left_semi").withColumn("_turn", turn).where("_turn = 1").select("_row.*"))
+
+
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .shared import table
 

@@ -85,8 +85,61 @@ def test_nulls_empty_repeats_and_other_columns(spark, docs):
     assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (5, 1, 4, False), (0, 1, None, True), (6, 1, 6, True)], key=str)
 
 
+def brute_rows(rows):
+    """(doc_id, text): size and component of each row, rows being nodes of their own."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(i, least.get(root(k), i))
+    return [(i, len(sets[k]), least[root(k)]) for k, (i, _) in enumerate(rows)]
+
+
+def test_rows_that_share_a_doc_id(spark, docs):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(2, a), (5, a + " more"), (5, b), (9, b)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs(rows)).collect())
+    assert got == [(2, 2, True), (5, 2, False), (5, 5, True), (9, 5, False)]
+    assert sorted(r.text for r in minhash.one_of_each(docs(rows)).collect()) == sorted([a, b])
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_shared_doc_ids_against_all_pairs(spark, docs, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(40), t) for _, t in corpus(seed, 50)]
+    rows += rng.choices(rows, k=10)  # repeated rows
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs(rows).repartition(3)).collect())
+    assert got == sorted(brute_rows(rows))
+    left = minhash.one_of_each(docs(rows)).collect()
+    texts = [(r.doc_id, r.text) for r in left]
+    every = {x[2] for x in brute_rows(rows)}
+    assert len(texts) == len(set(texts)) and {i for i, _ in texts} == every
+    # one row of each group: as many as there are groups among the rows themselves
+    groups = brute_rows([(k, t) for k, (_, t) in enumerate(rows)])
+    assert len(texts) == len({c for _, n, c in groups if n})
+
+
+def test_one_of_each_keeps_rows_outside_of_groups(spark, docs):
+    rows = [(1, None, "a"), (1, None, "b"), (2, "", "c"), (None, "one two", "d"), (None, "one two", "e"), (3, "one two", "f"), (3, "one two", "g"), (4, "ONE two", "h")]
+    out = minhash.one_of_each(docs(rows, "doc_id long, text string, mark string"))
+    assert out.columns == ["doc_id", "text", "mark"]
+    got = sorted(r.mark for r in out.collect())
+    assert len(got) == 6 and set("abcde") < set(got) and got[-1] in "fg"
+
+
 def test_empty_table(spark, docs):
-    assert near_duplicates(docs([])).count() == 0
+    assert near_duplicates(docs([])).count() == 0 and minhash.one_of_each(docs([])).count() == 0
 
 
 def test_estimate_leaves_room_for_the_threshold():
