@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
 A text is normalised as the model does (a space first, spaces as U+2581) and read as a lattice of the model's pieces;
-the score of a segmentation is the sum of its pieces' scores, and a character without a piece is one unknown piece,
-written as its bytes. Forward Viterbi scores are then the exact heuristic of a backward A* search, which gives
-segmentations in order of score.
+the score of a segmentation is the sum of its pieces' log probabilities, and a character without a piece is one unknown
+piece, written as its bytes. Forward Viterbi scores are then the exact heuristic of a backward A* search, which gives
+segmentations in order of score. A unigram model has log probabilities; a BPE model has ranks only, and its pieces get
+the probabilities that Zipf's and Mandelbrot's law gives to ranks.
 
 No piece crosses certain pairs of characters (a letter and the space after it, for one), so the lattice falls apart
 there: the distinct parts of a run of texts are searched at once, position by position of all parts, and texts are put
 together from them. A part's loss from its best to its second-best segmentation comes from forward and backward scores;
-only the parts with the least losses can change among a text's N best, and only those are searched by A*.
+only the parts with the least losses can change among a text's N best, and only those are searched by A*; the N best of
+a text are the best combinations of theirs.
 """
 
 from __future__ import annotations
@@ -32,12 +34,54 @@ SPACE = "▁"
 #: stands for a U+2581 of the text itself, which is written as bytes; no valid text has a lone surrogate
 OWN_SPACE = "\ud800"
 UNKNOWN_PENALTY = 10.0
+#: of Zipf's and Mandelbrot's law: a piece of rank r (from 0) has a probability in proportion to 1 / (r + OFFSET)
+OFFSET = 100.0
+#: scores are whole multiples of 1 / GRAIN, so that sums are exact whatever their order
+GRAIN = 1 << 20
 MARKS = ".,;:!?|%&$*#\"')(-"
 LINES = re.compile("(\n)")
 NO_LOSS = float("inf")
 #: parts that are searched at once
 TOGETHER = 8_192
 Edge = tuple[int, int, int, float]  # start, end, piece id (below 0: minus the code point of an unknown character), score
+Choice = tuple[float, tuple[tuple[int, int, list[int]], ...]]  # score; (from, to, ids) in place of the best one's ids
+
+
+def changed(ids: np.ndarray, changes: tuple[tuple[int, int, list[int]], ...]) -> np.ndarray:
+    """The ids of a segmentation, from those of the best and what is changed."""
+    out, at = [], 0
+    for a, b, own in changes:
+        out += [ids[at:a], np.array(own, ids.dtype)]
+        at = b
+    return np.concatenate([*out, ids[at:]])
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return value
+
+    while at < len(raw):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or varint()
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def is_bpe(raw: bytes) -> bool:
+    """Does the model's trainer specification (field 2) say type 2?"""
+    return any(number == 2 and dict(_fields(value)).get(3) == 2 for number, value in _fields(raw))
 
 
 class Pieces:
@@ -51,29 +95,30 @@ class Pieces:
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.pairs: set[str] = set()
         self.raw: list[bytes] = []
-        least = 0.0
+        with open(path, "rb") as file:
+            ranked = is_bpe(file.read())
+        words = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        scores = -np.log(np.arange(len(words)) + OFFSET) - np.log((1 / (np.arange(len(words)) + OFFSET)).sum()) if ranked else np.array([model.get_score(i) for i in words])
+        score_of = dict(zip(words, (np.round(scores * GRAIN) / GRAIN).tolist(), strict=True))
+        least = min(score_of.values(), default=0.0)
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            if model.is_byte(i):
-                self.raw.append(bytes([int(piece[3:5], 16)]))
-                continue
-            if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.raw.append(b"")
+            if i not in score_of:
+                self.raw.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else b"")
                 continue
             self.raw.append(piece.replace(SPACE, " ").encode())
-            score = model.get_score(i)
-            least = min(least, score) if score > -1e8 else least
             children, node = self.trie, None
             for c in piece:
                 node = children.setdefault(c, [{}, None])
                 children = node[0]
-            node[1] = (i, score)
+            node[1] = (i, score_of[i])
             self.pairs.update(piece[k : k + 2] for k in range(len(piece) - 1))
         self.unknown = least - UNKNOWN_PENALTY
         self.lengths = np.array([len(x) for x in self.raw], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.pool = np.frombuffer(b"".join(self.raw), np.uint8)
         self.lines = not any("\n" in x for x in self.pairs)
+        self.spaces = not any(x[0] != SPACE and x[1] == SPACE for x in self.pairs)
         self._tables()
 
     def _tables(self) -> None:
@@ -138,7 +183,7 @@ class Pieces:
         return edges, best, back
 
     def nbest(self, s: str, n: int) -> Iterator[tuple[float, list[int]]]:
-        """Up to ``n`` segmentations (score, piece ids) from the best down; of equal scores, the one found first."""
+        """Up to ``n`` segmentations (score, piece ids) from the best down."""
         edges, best, _ = self.lattice(s)
         into: list[list[Edge]] = [[] for _ in best]
         for edge in edges:
@@ -156,7 +201,7 @@ class Pieces:
                 n -= 1
                 continue
             for i, _, piece, w in into[at]:
-                pushed += 1
+                pushed -= 1  # of equal ones the last is gone on with, so that ties don't all grow at once
                 heapq.heappush(agenda, (-(done + w + best[i]), pushed, i, done + w, (piece, path)))
 
     def expand(self, ids: list[int]) -> list[int]:
@@ -263,8 +308,13 @@ class Pieces:
     # -- texts --------------------------------------------------------------------------------------------------------
 
     def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(starts, codes, units): every text as units that no piece crosses: a run of spaces and what follows it."""
+        """(starts, codes, units): every text as units that no piece crosses: a run of spaces and what follows it, or the
+        whole text if a piece goes from a character on to a space."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.spaces:
+            whole = [SPACE + t.replace(SPACE, OWN_SPACE).replace(" ", SPACE) if t else "" for t in texts.to_pylist()]
+            number = {u: k for k, u in enumerate(dict.fromkeys(u for u in whole if u))}
+            return np.concatenate([[0], np.cumsum([u != "" for u in whole])]).astype(np.int64), np.array([number[u] for u in whole if u], np.int64), list(number)
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         encoded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
@@ -291,14 +341,14 @@ class Pieces:
             starts.append(starts[-1] + len(own))
         return np.array(starts), np.concatenate(out), list(number)
 
-    def encode(self, texts: pa.Array, n: int = 1) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
-        """(starts, ids, scores): ids of the best segmentation of each text, and the scores of its ``n`` best."""
+    def encode(self, texts: pa.Array, n: int = 1) -> tuple[np.ndarray, np.ndarray, list[list[Choice]]]:
+        """(starts, ids, choices): ids of the best segmentation of each text, and its ``n`` best as what they change."""
         starts, codes, units = self.units(texts)
         used, codes_used = np.unique(codes, return_inverse=True)
         number: dict[str, int] = {}
         cuts = [[number.setdefault(c, len(number)) for c in self.cut(units[k])] for k in used.tolist()]
         if not cuts:
-            return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64), [[0.0] for _ in range(len(texts))]
+            return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64), [[(0.0, ())] for _ in range(len(texts))]
         parts_of = list(number)
         found = [self.search(parts_of[k : k + TOGETHER]) for k in range(0, len(parts_of), TOGETHER)]
         pool, scores, losses = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
@@ -310,24 +360,35 @@ class Pieces:
         parts = flat[kit.ragged_take(heads[codes_used], counts[codes_used])]
         lengths = np.diff(at)[parts]
         ids = pool[kit.ragged_take(at[:-1][parts], lengths)]
-        begins = np.concatenate([[0], np.cumsum(counts[codes_used])])[starts]  # of texts, among parts
-        totals = np.concatenate([[0.0], np.cumsum(scores[parts])])[begins]  # whole numbers in known models: sums are exact
-        ends = np.concatenate([[0], np.cumsum(lengths)])[begins]
+        of_units = np.concatenate([[0], np.cumsum(counts[codes_used])])  # where units begin among parts
+        of_parts = np.concatenate([[0], np.cumsum(lengths)])  # where parts begin among ids
+        places = of_parts[of_units]
+        totals = np.concatenate([[0.0], np.cumsum(scores[parts])])[of_units[starts]]
+        known: dict[int, list[tuple[float, list[int]]]] = {}
+
+        def others(unit: int) -> list[tuple[float, list[int]]]:
+            """(loss, ids) of the unit's segmentations behind the best."""
+            code = int(codes_used[unit])
+            if code not in known:
+                own = ids[places[unit] : places[unit + 1]].tolist()
+                ways = list(self.nbest(units[used[code]], n))
+                known[code] = [(ways[0][0] - score, way) for score, way in ways if way != own][: n - 1]
+            return known[code]
+
         ranked = []
         for i in range(len(texts)):
-            own, best = codes_used[starts[i] : starts[i + 1]], float(totals[i + 1] - totals[i])
-            ranked.append(self._ranked(own, unit_loss, used, units, best, n) if n > 1 else [best])
-        return ends, ids, ranked
-
-    def _ranked(self, codes: np.ndarray, losses: np.ndarray, used: np.ndarray, units: list[str], best: float, n: int) -> list[float]:
-        own = losses[codes]
-        near = np.argpartition(own, n - 2)[: n - 1] if len(own) >= n else np.arange(len(own))
-        sums = [0.0]
-        for k in near.tolist():
-            if own[k] < NO_LOSS:
-                scores = [score for score, _ in self.nbest(units[used[codes[k]]], n)]
-                sums = sorted(s + scores[0] - x for s in sums for x in scores)[:n]
-        return [best - s for s in sums]
+            choices: list[Choice] = [(0.0, ())]
+            if n > 1 and starts[i] < starts[i + 1]:
+                own = unit_loss[codes_used[starts[i] : starts[i + 1]]]
+                near = np.sort(np.argpartition(own, n - 2)[: n - 1]) if len(own) >= n else np.arange(len(own))
+                for k in near[own[near] < NO_LOSS].tolist():
+                    unit = int(starts[i]) + k
+                    place = (int(places[unit] - places[starts[i]]), int(places[unit + 1] - places[starts[i]]))
+                    more = [(x + loss, (*changes, (*place, way))) for x, changes in choices for loss, way in others(unit)]
+                    choices = sorted(choices + more, key=lambda c: c[0])[:n]
+            best = float(totals[i + 1] - totals[i])
+            ranked.append([(best - x, changes) for x, changes in choices])
+        return places[starts], ids, ranked
 
     def decode(self, starts: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """The bytes that the ids of each text stand for, without the space that normalising puts first."""
@@ -348,21 +409,27 @@ def _encode(path: str, n: int, with_ids: bool):
         for batch in kit.unpacked(batches):
             for part in kit.slices(batch, limit=1 << 20):
                 texts = part.column("text")
-                starts, ids, scores = model.encode(texts, n)
-                raw = ids.astype("<u4")
-                crcs = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                starts, ids, ranked = model.encode(texts, n)
+                ids = ids.astype("<u4")
                 back = model.decode(starts, ids)
-                whole = [x == (t or "").encode() for x, t in zip(back, texts.to_pylist(), strict=True)]
-                columns = [part.column("row"), pa.array(np.diff(starts)), pa.array(crcs, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array([zlib.crc32(x) for x in back], pa.int64()), pa.array(whole)]
-                names = ["row", "n_tokens", "ids_crc32", "scores", "decoded_crc32", "round_trip"]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                whole, found = [], []
+                for k, text in enumerate(texts.to_pylist()):
+                    own = ids[starts[k] : starts[k + 1]]
+                    segmentations = [(score, changed(own, changes) if changes else own) for score, changes in ranked[k]]
+                    same = all(b"".join(model.raw[x] for x in way) == b"".join(model.raw[x] for x in own[a:b].tolist()) for _, changes in ranked[k] for a, b, way in changes)
+                    whole.append(same and back[k] == (text or "").encode())
+                    found.append([{"score": score, "n_tokens": len(way), "ids_crc32": zlib.crc32(way.tobytes())} | ({"ids": way.tolist()} if with_ids else {}) for score, way in segmentations])
+                columns = [part.column("row"), pa.array(np.diff(starts)), pa.array([f[0]["ids_crc32"] for f in found], pa.int64()), pa.array(found, _found_type(with_ids)), pa.array([zlib.crc32(x) for x in back], pa.int64()), pa.array(whole)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "ids_crc32", "segmentations", "decoded_crc32", "round_trip"])
 
     return run
 
 
+def _found_type(with_ids: bool) -> pa.DataType:
+    fields = [("score", pa.float64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+    return pa.list_(pa.struct(fields + [("ids", pa.list_(pa.int32()))] * with_ids))
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -370,17 +437,20 @@ def default_model() -> str:
 
 
 def encoded(documents: DataFrame, path: str, n: int = 3, with_ids: bool = False) -> DataFrame:
-    """row (a struct of all columns), n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), scores
-    (of the ``n`` best segmentations of the whole text, best first; fewer if there are no more), decoded_crc32 and
-    round_trip (the decoded bytes are the text's) of every row of ``documents``, and ids on demand.
+    """row (a struct of all columns), n_tokens and ids_crc32 (of the ids of the best segmentation as little-endian unsigned
+    32-bit integers), segmentations (score, n_tokens and ids_crc32 of the ``n`` best of the whole text, best first, and on
+    demand their ids; fewer if there are no more), decoded_crc32 and round_trip (the decoded bytes of all of them are the
+    text's) of every row of ``documents``.
 
-    Null and empty texts have no tokens and the one score 0. Equal texts have equal results; an empty table gives no
-    rows. ``path`` names the model's file on the executors."""
+    Null and empty texts have no tokens and one segmentation of score 0. Equal texts have equal results; an empty table
+    gives no rows. ``path`` names the model's file on the executors."""
     rows, kind = packed(documents)
-    ids = ", ids array<int>" if with_ids else ""
-    return rows.mapInArrow(kit.tidied(_encode(path, n, with_ids)), f"row {kind}, n_tokens long, ids_crc32 long, scores array<double>, decoded_crc32 long, round_trip boolean{ids}")
+    ids = ",ids:array<int>" if with_ids else ""
+    return rows.mapInArrow(kit.tidied(_encode(path, n, with_ids)), f"row {kind}, n_tokens long, ids_crc32 long, segmentations array<struct<score:double,n_tokens:bigint,ids_crc32:bigint{ids}>>, decoded_crc32 long, round_trip boolean")
 
 
 def op8_sentencepiece_nbest(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encoded(documents, default_model()).select("row.doc_id", "n_tokens", "ids_crc32", "scores", "decoded_crc32", "round_trip")
+    out = encoded(documents, default_model())
+    parts = (F.col(f"segmentations.{c}").alias(f"nbest_{c}") for c in ("score", "n_tokens", "ids_crc32"))
+    return out.select("row.doc_id", "n_tokens", "ids_crc32", *parts, "decoded_crc32", "round_trip")
