@@ -24,11 +24,13 @@ from .shared import packed, table
 BITS = 16
 DIMENSIONS = 1 << BITS
 UNKNOWN = "und"
+#: steps of the share of a language's rows that are learned from
+RATES = 1 << 40
 
 
 @dataclass(frozen=True)
 class Params:
-    #: expected bound on the rows that weights are learned from, shared evenly by the languages
+    #: expected bound on the rows that weights are learned from, shared evenly by the languages; each has one at least
     sample: int = 3_000
     epochs: int = 3
     alpha: float = 0.5
@@ -160,17 +162,20 @@ def learned(documents: DataFrame, p: Params = Params()) -> Model | None:
     rows = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(RATES))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(spread).alias("least")).collect()
+    totals = {r["lang"]: r["n"] for r in found}
     if not totals:
         return None
     idf = np.log((1 + sum(totals.values())) / np.ones(DIMENSIONS)) + 1
     for r in rows.mapInArrow(kit.tidied(_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator():
         idf[r["feature"]] -= np.log(1 + r["n"])
-    share = p.sample // len(totals)
-    rate = F.lit(0)
-    for lang, n in sorted(totals.items()):
-        rate = F.when(F.col("lang") == lang, min(1_000_000, 1_000_000 * share // n)).otherwise(rate)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)))
+    share = max(1, p.sample // len(totals))
+    # at least the row with the least hash
+    rates = {r["lang"]: min(RATES, max(r["least"] + 1, RATES * share // r["n"])) for r in found}
+    rate = F.broadcast(rows.sparkSession.createDataFrame(list(rates.items()), "lang string, rate long"))
+    sample = rows.join(rate, "lang").where(spread < F.col("rate")).select("doc_id", "lang", "text")
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)))
     found = sample.mapInArrow(_sparse, "doc_id long, lang string, fold long, used array<int>, counts array<int>").where(F.size("used") > 0).toPandas()
     if not len(found):
         return None

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary folder that is then set."""
+    """``spark.checkpoint.dir``. Only where it is unset and all runs in one process, as in tests, a temporary folder that is
+    then set; on a cluster others couldn't read that."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -62,9 +65,19 @@ class Scratch:
             _delete(self.spark, self.path(name))
 
 
+#: schemes that Hadoop and Arrow spell in different ways
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
 def place(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI (a path without a scheme is local), for files that executors write themselves."""
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
+    """File system and path of a URI (a path without a scheme is local), for files that executors write themselves. Stores
+    that Arrow doesn't know raise ValueError; writers ask on the driver, before any task runs."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return fs.FileSystem.from_uri(f"file://{os.path.abspath(uri)}")
+    if scheme == "file":
+        return fs.FileSystem.from_uri("file:///" + rest.lstrip("/"))
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -131,6 +131,7 @@ def write(documents: DataFrame, model: str, root: str, shards: int) -> DataFrame
     """Writes (doc_id, text) rows to files under ``root``; one manifest row (shard, name, ids) for each file.
 
     Rows stand in ascending order of doc_id, null first, then by a hash of the text and the text, over all files."""
+    place(root)  # raises here where no task could write
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text"), "text"]
     placed = rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)

@@ -28,6 +28,42 @@ def test_language_edges(spark):
     assert L.predicted(odd.where("false"), model).count() == 0
 
 
+def test_more_languages_than_the_sample_has_rows(spark):
+    words = ["aba", "cdc", "efe", "ghg", "iji", "klk"]
+    rows = [(i, f"{words[i % 6]} " * 9, f"l{i % 6}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learned(docs, L.Params(sample=2))
+    assert model.languages == tuple(f"l{k}" for k in range(6))
+
+
+def test_vectors_and_chances_against_plain_counts():
+    """TF-IDF by a dictionary of n-grams, the chances by the formula of the softmax."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    idf, weights = rng.uniform(1, 5, L.DIMENSIONS), rng.normal(0, 1, (L.DIMENSIONS + 1, 3))
+    model = L.Model(("a", "b", "c"), idf, weights, 0.7)
+
+    def bucket(gram):
+        h = 0
+        for k, c in enumerate(gram, 1):
+            h = (h * 0x01000193 + ord(c) + k) % 2**32
+        return (h * 0x9E3779B1) % 2**32 >> (32 - L.BITS)
+
+    for text in ("Hello, wörld!! 42 hello", "a", "ÉÉ  é", "x" * 300):
+        plain = "".join(c if c.isalpha() else " " for c in text.lower())
+        plain = " " + " ".join(plain.split()) + " "
+        counts = Counter(bucket(plain[i : i + n]) for n in (1, 2, 3) for i in range(len(plain) - n + 1))
+        x = {k: (1 + math.log(n)) * idf[k] for k, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        logits = [sum(v / norm * weights[k][j] for k, v in x.items()) + weights[-1][j] for j in range(3)]
+        odds = [math.exp(z / 0.7) for z in logits]
+        assert np.allclose(model.probabilities(*L.features(text)), [o / sum(odds) for o in odds])
+
+
 def test_labels_of_held_out_rows_teach_nothing(spark):
     rows = [(i, "aaa" if i % 2 else "zzz", "x" if i % 2 else "y") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -1,4 +1,6 @@
-"""Scratch tables and samples of labels."""
+"""Scratch tables, places of files and samples of labels."""
+
+import pytest
 
 from facetline.llm import shared
 from facetline.llm.textkit import slices, words_of
@@ -36,3 +38,12 @@ def test_words_split_at_ascii_white_space_only():
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * 50, None, "y" * 500, "z"])], ["text"])
     parts = [p.num_rows for p in slices(batch, limit=100)]
     assert sum(parts) == 4 and max(parts) < 4
+
+
+def test_places_of_files(tmp_path):
+    for uri in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        files, path = shared.place(uri)
+        assert path == str(tmp_path) and files.type_name == "local"
+    with pytest.raises(ValueError):
+        shared.place("nosuch://bucket/x")
+    assert shared.SCHEMES["s3a"] == "s3"
