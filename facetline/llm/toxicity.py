@@ -8,10 +8,12 @@ the symbols of a clause, and their composition is one table that reads a clause
     target     an insult within four words of a target is aimed
     threat     intent, then a threat, then a target, each within three words: a menace
 
-The weight of a clause is the sum of its arcs' weights and that of its gravest insult. A text is scored by its best
-three clauses, in a logistic model whose weights start from the grammar's own, where words that nobody is called, that are
-negated or reported don't reach the threshold, and move with the labels. Beginnings of words join the lexicon where they explain labelled texts that no pattern matches: surely (next to
-no clean text has them) or likely.
+What a clause does is the set of its arcs: which symbol was read and what was written for it. Each kind of arc has a
+weight, which starts at the grammar's own and moves with the labels; a clause's weight is the sum over its kinds of arcs.
+A text is scored by its best clause, and by the sum of the others', in a logistic model that is fitted anew as the weights
+tell which clause of a text is its best. By the grammar's own weights, words that nobody is called, that are negated or
+reported don't reach the threshold. Beginnings of words join the lexicon where they explain labelled texts that no pattern
+matches: surely (next to no clean text has them) or likely.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from .shared import labelled, packed, table
 
 #: symbols that the lexicon gives, and those that only transducers write
 OTHER, STRONG, WEAK, SURE, LIKELY, THREAT, TARGET, NEGATION, SAYING, INTENT, NEGATED, REPORTED, AIMED, MENACE = SYMBOLS = range(14)
-INSULTS = (STRONG, WEAK, SURE)
-#: of the gravest insult in a clause
-GRAVITY = {STRONG: 1.0, WEAK: 0.5, SURE: 1.0}
-MATCHED = (*INSULTS, LIKELY, AIMED, NEGATED, REPORTED, MENACE)
+INSULTS = (STRONG, WEAK, SURE, LIKELY)
+#: what reading a symbol weighs, whatever is written
+GRAVITY = {STRONG: 1.0, WEAK: 0.25, SURE: 1.0, LIKELY: 0.1}
+MATCHED = (*INSULTS, AIMED, NEGATED, REPORTED, MENACE)
 
 LEXICON = {
     STRONG: "idiot idiots moron morons scum loser losers imbecile imbeciles cretin scumbag dumbass asshole bastard idiota imbécile crétin dummkopf vollidiot abschaum imbécil cabrón connard salaud arschloch",
@@ -101,9 +103,9 @@ def _target(reach: int = 4) -> Fst:
         left = state - 1 if 0 < state <= reach else reach + max(0, state - reach - 1) if state > reach else 0
         left = 0 if left == reach and state > reach else left
         row = {s: (left, s, 0.0) for s in SYMBOLS}
-        row[TARGET] = (reach, AIMED, 1.0) if state > reach else (reach, TARGET, 0.0)
+        row[TARGET] = (reach, AIMED, 1.25) if state > reach else (reach, TARGET, 0.0)
         for insult in INSULTS:
-            row[insult] = (state, AIMED, 1.0) if 0 < state <= reach else (2 * reach, insult, 0.0)
+            row[insult] = (state, AIMED, 1.25) if 0 < state <= reach else (2 * reach, insult, 0.0)
         arcs.append(row)
     return Fst(tuple(arcs))
 
@@ -126,28 +128,60 @@ def grammar() -> Fst:
     return _negation().then(_reported()).then(_target()).then(_threat())
 
 
-def weighed_clause(symbols: list[int], fst: Fst) -> tuple[list[int], float]:
-    """What is written, and the weight of the way through."""
-    state, out, total = 0, [], max((GRAVITY.get(s, 0.0) for s in symbols), default=0.0)
+@lru_cache
+def identity() -> Fst:
+    """Writes what it reads, for comparison."""
+    return Fst(({s: (0, s, 0.0) for s in SYMBOLS},))
+
+
+def read_clause(symbols: list[int], fst: Fst) -> list[int]:
+    state, out = 0, []
     for symbol in symbols:
-        state, written, weight = fst.arcs[state][symbol]
+        state, written, _ = fst.arcs[state][symbol]
         out.append(written)
-        total += weight
-    return out, total
+    return out
 
 
-def read_clause(symbols: list[int], fst: Fst) -> list[int]:
-    return weighed_clause(symbols, fst)[0]
+#: (read, written) of the arcs that match something, and what they weigh by the grammar's own weights
+KINDS = {(s, out): GRAVITY.get(s, 0.0) + weight for row in grammar().arcs for s, (_, out, weight) in sorted(row.items()) if s < NEGATED and out in MATCHED}
+NUMBER = {kind: 1 << k for k, kind in enumerate(KINDS)}
+#: of a weight of 1 in the logistic model
+SCALE = 6.0
+
+
+def arcs_of(symbols: list[int], fst: Fst) -> int:
+    """The kinds of arcs on a clause's way, a bit for each."""
+    out = 0
+    for kind in zip(symbols, read_clause(symbols, fst), strict=True):
+        out |= NUMBER.get(kind, 0)
+    return out
+
+
+def _rest(weights: list[float]) -> float:
+    """What the clauses behind the best tell."""
+    return float(np.log1p(sum(w for w in weights if w > 0)))
 
 
 @dataclass(frozen=True)
 class Model:
-    #: prior: best clause, the next two, log1p of the counts of SURE and LIKELY, constant
-    weights: tuple[float, ...] = (6.0, 0.5, 7.0, 0.7, -8.0)
+    #: of each kind of arc
+    arcs: tuple[float, ...] = tuple(SCALE * w for w in KINDS.values())
+    #: of log1p of the weights of clauses behind the best, and the constant
+    more: float = 0.5
+    constant: float = -8.0
     #: beginnings of words that give SURE and LIKELY
     sure: tuple[str, ...] = ()
     likely: tuple[str, ...] = ()
 
+    def weight(self, arcs: int) -> float:
+        return sum(w for k, w in enumerate(self.arcs) if arcs >> k & 1)
+
+    def score(self, clauses: list[int]) -> float:
+        """Of a text with these clauses."""
+        weights = sorted((self.weight(c) for c in clauses), reverse=True)
+        x = self.constant + (weights[0] if weights else 0.0) + self.more * _rest(weights[1:])
+        return float(1 / (1 + np.exp(-x)))
+
 
 @dataclass(frozen=True)
 class Params:
@@ -158,7 +192,6 @@ class Params:
     support: int = 5
     sure: float = 0.95
     likely: float = 0.4
-    most: int = 40
     #: characters of a beginning
     lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
 
@@ -184,15 +217,14 @@ def _symbols(vocab: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return out, pc.match_substring_regex(vocab, ENDS).to_numpy(zero_copy_only=False)
 
 
-def found_in(texts: pa.Array, model: Model = Model()) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, MATCHED) counts of what the grammar finds in each whole text, and (texts, 3) weights of its best clauses,
-    0 at least."""
-    words, fst = kit.words_of(texts), grammar()
-    out, best = np.zeros((len(texts), len(SYMBOLS)), np.int64), np.zeros((len(texts), 3))
+def clauses_of(texts: pa.Array, model: Model = Model(), fst: Fst | None = None) -> list[list[int]]:
+    """The kinds of arcs of each clause of each whole text in which anything matches."""
+    words, fst = kit.words_of(texts), fst or grammar()
+    out: list[list[int]] = [[] for _ in range(len(texts))]
     if not len(words.vocab):
-        return out[:, MATCHED], best
+        return out
     symbols, ends = (x[words.codes] for x in _symbols(words.vocab, model))
-    hits = np.flatnonzero(np.isin(symbols, (*INSULTS, LIKELY, THREAT)))
+    hits = np.flatnonzero(np.isin(symbols, (*INSULTS, THREAT)))
     owners = np.searchsorted(words.starts, hits, side="right") - 1
     edges = np.flatnonzero(ends)
     done = -1
@@ -202,52 +234,40 @@ def found_in(texts: pa.Array, model: Model = Model()) -> tuple[np.ndarray, np.nd
         k = np.searchsorted(edges, hit)
         first = max(int(words.starts[owner]), int(edges[k - 1]) + 1 if k else 0)
         done = min(int(words.starts[owner + 1]), int(edges[k]) + 1 if k < len(edges) else len(symbols))
-        read, weight = weighed_clause(symbols[first:done].tolist(), fst)
-        for written in read:
-            out[owner, written] += 1
-        if weight > best[owner, 2]:
-            best[owner] = sorted((*best[owner, :2], weight), reverse=True)
-    return out[:, MATCHED], best
-
-
-def matches(texts: pa.Array, model: Model = Model()) -> np.ndarray:
-    return found_in(texts, model)[0]
-
-
-def _inputs(counts: np.ndarray, best: np.ndarray) -> np.ndarray:
-    words = np.log1p(counts[:, [MATCHED.index(SURE), MATCHED.index(LIKELY)]])
-    return np.column_stack([best[:, 0], best[:, 1:].sum(axis=1), words, np.ones(len(counts))])
+        if arcs := arcs_of(symbols[first:done].tolist(), fst):
+            out[owner].append(arcs)
+    return out
 
 
-def _match(model: Model):
+def _match(model: Model, fst: Fst | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kit.unpacked(batches):
             for part in kit.slices(batch):
-                found, best = found_in(part.column("text"), model)
-                x = _inputs(found, best) @ np.array(model.weights)
-                counts = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(MATCHED), pa.int32()), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), counts, pa.array(best.tolist(), pa.list_(pa.float64())), pa.array(1 / (1 + np.exp(-x)))], ["row", "matched", "clauses", "score"])
+                found = clauses_of(part.column("text"), model, fst)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.list_(pa.int64())), pa.array([model.score(x) for x in found], pa.float64())], ["row", "clauses", "score"])
 
     return run
 
 
-def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """row (a struct of all columns), matched (counts by MATCHED), clauses (the best weights) and score of every row of ``documents``.
+def scored(documents: DataFrame, model: Model, fst: Fst | None = None) -> DataFrame:
+    """row (a struct of all columns), clauses (the kinds of arcs, by KINDS, of each clause in which anything matches) and
+    score of every row of ``documents``, by the grammar or another transducer.
 
     Null and empty texts match nothing and get the score of a text without matches; equal texts have equal scores; an
     empty table gives no rows."""
     rows, kind = packed(documents)
-    return rows.mapInArrow(kit.tidied(_match(model)), f"row {kind}, matched array<long>, clauses array<double>, score double")
+    return rows.mapInArrow(kit.tidied(_match(model, fst)), f"row {kind}, clauses array<long>, score double")
 
 
-def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic weights at the posterior mode: Newton's method, steps halved until the loss falls, normal prior of unit
-    variance."""
-    loss = lambda w: float((np.logaddexp(0, x @ w) - y * (x @ w)).sum() + ((w - prior) ** 2).sum() / 2)
+def _newton(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Logistic weights at the posterior mode: Newton's method, steps halved until the loss falls, normal prior with a
+    deviation of half a SCALE."""
+    firm = 4 / SCALE**2
+    loss = lambda w: float((np.logaddexp(0, x @ w) - y * (x @ w)).sum() + firm * ((w - prior) ** 2).sum() / 2)
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(len(w)), x.T @ (p - y) + (w - prior))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + firm * np.eye(len(w)), x.T @ (p - y) + firm * (w - prior))
         while loss(w - step) > loss(w) and np.abs(step).max() >= 1e-9:
             step = step / 2
         w = w - step
@@ -256,6 +276,26 @@ def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 50) -> n
     return w
 
 
+def fitted(model: Model, clauses: list[list[int]], toxic: np.ndarray, rounds: int = 8) -> Model:
+    """The model with weights from texts' clauses and labels: the best clauses under the weights so far, and weights from
+    those, in turn until they stay."""
+    prior = np.array([*model.arcs, model.more, model.constant])
+    now, before = prior, None
+    for _ in range(rounds):
+        x = np.zeros((len(clauses), len(prior)))
+        x[:, -1] = 1
+        for row, own in enumerate(clauses):
+            by_weight = sorted(own, key=lambda c: (-model.weight(c), c))
+            if by_weight:
+                x[row, : len(KINDS)] = [by_weight[0] >> k & 1 for k in range(len(KINDS))]
+                x[row, -2] = _rest([model.weight(c) for c in by_weight[1:]])
+        if before is not None and (x == before).all():
+            break
+        now, before = _newton(x, toxic, prior), x
+        model = replace(model, arcs=tuple(now[: len(KINDS)].tolist()), more=float(now[-2]), constant=float(now[-1]))
+    return model
+
+
 def _beginnings(p: Params, wanted: frozenset[str] | None, schema: list[str]):
     """(doc_id, beginning) for each text: of all beginnings of its words, or of those wanted; or only their counts."""
 
@@ -287,7 +327,7 @@ def _cover(sets: dict[str, set], p: Params) -> list[str]:
     chosen: list[str] = []
     for _ in range(2):
         left = {w: s for w, s in sets.items() if not any(w.startswith(c) or c.startswith(w) for c in chosen)}
-        while left and len(chosen) < p.most:
+        while left:
             best = max(sorted(left), key=lambda w: (len(left[w]), len(w)))
             covered = left[best]
             if len(covered) < p.support:
@@ -300,8 +340,8 @@ def _cover(sets: dict[str, set], p: Params) -> list[str]:
 def _explain(sample: DataFrame, p: Params) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Beginnings of words, sure and likely, that toxic texts without a match have. What reaches the driver is bounded
     by the sample: beginnings that at least ``support`` of its toxic texts share."""
-    texts = sample.select("row.doc_id", "row.text", "row.toxic", "matched")
-    toxic = texts.where("toxic = 1 AND aggregate(matched, 0L, (s, x) -> s + x) = 0").dropDuplicates(["text"]).select("doc_id", "text")
+    texts = sample.select("row.doc_id", "row.text", "row.toxic", "clauses")
+    toxic = texts.where("toxic = 1 AND size(clauses) = 0").dropDuplicates(["text"]).select("doc_id", "text")
     clean = texts.where("toxic = 0").select("doc_id", "text")
     named = toxic.mapInArrow(_beginnings(p, None, ["doc_id", "beginning"]), "doc_id long, beginning string")
     shared = {r[0]: r[1] for r in named.groupBy("beginning").count().where(F.col("count") >= p.support).collect()}
@@ -327,19 +367,16 @@ def learned(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Mo
     sample = labelled(documents.select("doc_id", "text"), labels, "toxic", p.sample, "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 <> 1")
 
     def rows(m: Model) -> pd.DataFrame:
-        return scored(sample, m).select("row.doc_id", "row.toxic", "matched", "clauses").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
+        return scored(sample, m).select("row.doc_id", "row.toxic", "clauses").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
 
     found = rows(model)
     if not len(found):
         return model
-    counts = np.stack(found["matched"].to_numpy())
-    if ((found["toxic"].to_numpy() == 1) & (counts.sum(axis=1) == 0)).sum() >= p.support:
+    if ((found["toxic"].to_numpy() == 1) & (found["clauses"].map(len).to_numpy() == 0)).sum() >= p.support:
         sure, likely = _explain(scored(sample, model), p)
         model = replace(model, sure=sure, likely=likely)
         found = rows(model)
-        counts = np.stack(found["matched"].to_numpy())
-    x = _inputs(counts, np.stack(found["clauses"].to_numpy()))
-    return replace(model, weights=tuple(_fit(x, found["toxic"].to_numpy().astype(float), np.array(model.weights)).tolist()))
+    return fitted(model, [list(x) for x in found["clauses"]], found["toxic"].to_numpy().astype(float))
 
 
 def held_out() -> Column:
