@@ -55,3 +55,11 @@ def test_nulls_ties_repeats_and_other_columns(spark):
     df = spark.createDataFrame([(*r, 7, "p") for r in rows], SCHEMA + ", place int, copies string")
     assert result(collapsed(df)) == brute(rows)
     assert collapsed(df.where("false")).count() == 0
+
+
+def test_many_turns_without_a_number(spark):
+    rng = random.Random(1)
+    rows = [(1, None, rng.choice(("user", None)), f"t{rng.randrange(400)}") for _ in range(1500)] + [(2, 3, "user", "same")] * 600 + [(3, 3, "user", "same")] * 599
+    got = collapsed(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert result(got) == brute(rows)
+    assert got.where("conv_id = 1").count() == 6 and got.selectExpr("max(size(split(rendered, '<.end.>')))").first()[0] <= 257
