@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetline.llm import minhash, mixing, pieces, quality, toxicity
-from facetline.llm.shared import Scratch, table
+from facetline.llm.shared import Scratch, passing, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"stage-{k}")
+        with passing(spark):
+            docs = scratch.put(stage(spark, docs, sf_dir), f"stage-{k}")
+        scratch.drop(f"stage-{k - 1}")
     return docs

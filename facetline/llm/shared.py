@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,16 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _roots.pop())
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Folders that operator calls make inside are deleted at the end: for results that are written meanwhile."""
+    before = len(_roots)
+    yield
+    for root in _roots[before:]:
+        _delete(spark, root)
+    del _roots[before:]
+
+
 def _delete(spark: SparkSession, uri: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
