@@ -29,6 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS = 100_000
 
 
+#: where the folder is a mounted one (file:), checksum files and the modes of files are left out: each chmod there forks the
+#: JVM, which then counts twice for a moment
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 _roots: list[str] = []
 
 
@@ -69,7 +73,7 @@ class Scratch:
         """``rows``: about how many narrow rows there are, where that is known; a small table is written as few files."""
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // ROWS)))
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").options(**PLAIN).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
