@@ -14,7 +14,7 @@ from .functions.scalars import round4
 from .operators.mlp import RANKER, Network
 from .plans import image_search
 from .sources import images
-from .sources.index import Store, with_ids
+from .sources.index import Store
 
 
 @dataclass
@@ -65,7 +65,7 @@ class Engine:
         found = self.store.load()
         if found is None:
             raise FileNotFoundError(f"no index at {self.store.root}")
-        self._rows = with_ids(found.where("error IS NULL"))
+        self._rows = found.where("error IS NULL")
         return self._rows.count()
 
     def save_weights(self, path: str) -> None:
@@ -114,16 +114,16 @@ class Engine:
         return {"index": self.store.root, "version": version, "loaded": self._rows is not None, "images": len(self) if version else 0, "build": asdict(self.job)}
 
     def evaluate(self, queries: DataFrame, at: tuple[int, ...] = (1, 3)) -> DataFrame:
-        """Recall over a manifest (image, src, content): queries go through in blocks of 64."""
+        """Recall over a manifest (image, src, content): queries go through in blocks of 64, of each the first ``max(at)`` names
+        are kept."""
         from .operators.ranking import recall
 
         names = queries.select("image", "src").orderBy("image").collect()
-        number = {r["image"]: i for i, r in enumerate(names)}
-        hits = None
+        number, found = {r["image"]: i for i, r in enumerate(names)}, []
         for a in range(0, len(names), 64):
             block = [r["image"] for r in names[a : a + 64]]
             data = {number[r["image"]]: bytes(r["content"]) for r in queries.where(F.col("image").isin(block)).select("image", "content").collect()}
-            found = self.search_all(data, max(at))
-            hits = found if hits is None else hits.unionByName(found)
+            found += [(r["query_id"], r["path"], r["rank"]) for r in self.search_all(data, max(at)).collect()]
+        hits = self.spark.createDataFrame(found, "query_id long, ref_id string, rank int")
         truth = self.spark.createDataFrame([(number[r["image"]], r["src"]) for r in names], "query_id long, ref_id string")
-        return recall(hits.withColumnRenamed("path", "ref_id"), truth, at)
+        return recall(hits, truth, at)

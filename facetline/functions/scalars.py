@@ -40,14 +40,15 @@ def hidden(path: Column | str) -> Column:
 
 
 def sniff(head: Column | str) -> Column:
-    """webp, avif, svg, bmp or empty, from a text or binary head."""
-    raw = F.substring(_c(head).cast("binary"), 1, HEAD)
-    text = F.lower(F.decode(raw, "ISO-8859-1"))
+    """webp, avif, svg, bmp or empty, from a text or binary head; white space and byte order marks before it don't count,
+    nor does case."""
+    text = F.decode(F.substring(_c(head).cast("binary"), 1, HEAD), "ISO-8859-1")
+    text = F.lower(F.regexp_replace(text, "^(?:[ \t\r\n]|\u00ef\u00bb\u00bf)+", ""))
     return (
-        F.when(F.substring(text, 1, 4).eqNullSafe("riff") & (F.substring(text, 9, 4) == "webp"), "webp")
-        .when((F.substring(text, 5, 4) == "ftyp") & (F.instr(F.substring(text, 9, 24), "avif") > 0), "avif")
-        .when(F.instr(text, "<svg") > 0, "svg")
-        .when(F.substring(F.decode(raw, "ISO-8859-1"), 1, 2) == "BM", "bmp")
+        F.when(F.startswith(text, F.lit("riff")) & (F.substring(text, 9, 4) == "webp") & (F.length(text) > 12), "webp")
+        .when((F.substring(text, 5, 4) == "ftyp") & F.substring(text, 9, 4).isin("avif", "avis"), "avif")
+        .when(F.contains(text, F.lit("<svg")) | F.contains(text, F.lit("<!doctype svg")), "svg")
+        .when(F.startswith(text, F.lit("bm")), "bmp")
         .otherwise("")
     )
 

@@ -226,6 +226,21 @@ def expert(q: dict, r: dict) -> float:
     return 0.20 * occ + 0.20 * near + 0.20 * region_similarity(q["regions"], r["regions"]) + 0.25 * cosine(q["fourier"], r["fourier"]) + 0.15 * overlap(q["rad"], r["rad"])
 
 
+def _cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    lengths = np.sqrt((rows * rows).sum(axis=1) * (q @ q))
+    return np.divide(rows @ q, lengths, out=np.zeros(len(rows)), where=lengths > 0)
+
+
+def experts(q: dict, rows) -> np.ndarray:
+    """``expert`` of a prepared query and each row of a table of descriptors, but for the regions all rows at once."""
+    r = {c: np.stack(rows[c].to_numpy()) for c in ("occ64", "occ_bbox64", "patch", "patch_bbox", "fourier", "rad")}
+    occ = np.maximum(np.maximum(0.0, (q["occ_turns"] @ r["occ64"].T).max(axis=0)), _cosines(q["occ_bbox64"], r["occ_bbox64"]))
+    near = np.maximum(np.maximum(0.0, (q["patch_turns"] @ r["patch"].T).max(axis=0)), np.maximum(0.0, r["patch_bbox"] @ q["patch_bbox"]))
+    regions = np.array([region_similarity(q["regions"], x) for x in rows["regions"]])
+    radii = np.minimum(r["rad"], q["rad"]).sum(axis=1)
+    return 0.20 * occ + 0.20 * near + 0.20 * regions + 0.25 * _cosines(q["fourier"], r["fourier"]) + 0.15 * radii
+
+
 def grid_similarity(q: dict, r: dict) -> float:
     return 0.25 * cosine(q["occ64"], r["occ64"]) + 0.35 * cosine(q["occ32"], r["occ32"]) + 0.40 * cosine(q["occ16"], r["occ16"])
 

@@ -2,11 +2,13 @@
 
 Rows are scored in Arrow batches by one matrix product for each batch, and each task keeps only its k best for each
 query, so what is shuffled is queries x k x tasks rows at most, however many rows are scored. Queries go to the tasks in
-blocks of a fixed size: the driver never holds more than one block.
+blocks of a fixed size, each of which scans the rows once; if there are several, each block's result is written to the
+checkpoint folder before the next is read, so the driver never holds more than one block.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: queries of one block
 BLOCK = 4096
+#: rows of a short list that are broadcast at most (24 bytes each); a longer one is joined by shuffle
+BROADCAST = 1_000_000
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -104,10 +108,23 @@ def top_k(refs: DataFrame, queries: DataFrame, scorer: Scorer, k: int) -> DataFr
         block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else queries
         rows = [(r["id"], np.array(r["vector"], np.float64)) for r in block.sort("id").toLocalIterator()]
         if rows:
-            found.append(refs.mapInArrow(_scan(rows, scorer, k), "query_id long, ref_id long, score double"))
+            best = ranked(refs.mapInArrow(_scan(rows, scorer, k), "query_id long, ref_id long, score double"), k)
+            found.append(cut(best) if blocks > 1 else best)
     if not found:
         return refs.sparkSession.createDataFrame([], "query_id long, ref_id long, score double, rank int")
-    return ranked(reduce(DataFrame.unionAll, found), k)
+    return reduce(DataFrame.unionAll, found)
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder, lineage cut. Where that is unset and all runs in one process, as in tests, it is a
+    temporary folder."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return rows.checkpoint()
 
 
 def ranked(pairs: DataFrame, k: int, order: tuple = ()) -> DataFrame:
@@ -117,6 +134,11 @@ def ranked(pairs: DataFrame, k: int, order: tuple = ()) -> DataFrame:
 
 
 def with_vectors(pairs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Pairs with the vectors of both sides as a and b; vectors are joined to the short list, never shuffled before."""
+    """Pairs with the vectors of both sides as a and b. The short list is written, and up to BROADCAST rows of it go to where
+    the vectors lie, which then are not shuffled."""
+    pairs = cut(pairs)
+    small = pairs.count() <= BROADCAST
     a, b = (refs.toDF(i, v) for i, v in (("query_id", "a"), ("ref_id", "b")))
-    return pairs.join(a, "query_id").join(b, "ref_id")
+    asked = pairs.select("query_id").distinct()
+    a = a.join(F.broadcast(asked) if small else asked, "query_id")
+    return b.join(F.broadcast(pairs) if small else pairs, "ref_id").join(a, "query_id")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import cut
+
 
 def mode(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value and n of the most frequent value; of equally frequent ones the least."""
@@ -38,13 +40,22 @@ def otsu(rows: DataFrame, keys: list[str], level: str) -> DataFrame:
     return rated.groupBy(*keys).agg(F.max_by(level, F.struct("between", level)).alias("threshold"))
 
 
-def positional_percentile(rows: DataFrame, keys: list[str], value: str, place: Column) -> DataFrame:
+def positional_percentile(rows: DataFrame, keys: list[str], value: str, place: Column, slots: int = 64) -> DataFrame:
     """keys and value at a 0-based place of the sorted values; ``place`` is an expression of their number n.
 
-    Values are counted before they are ranked, so a key's many equal values are one row."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(*keys)
-    upto = counts.select(*keys, value, F.sum("m").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("m").over(w).alias("n"))
+    Values are counted before they are ranked, so a key's many equal values are one row. A key's values are cut into slots
+    at approximate percentiles; counts of the slots tell which one has the place, and only its values are put in order, so
+    the result is exact and few keys with many values keep no task alone."""
+    cuts = F.percentile_approx(value, F.array(*[F.lit(k / slots) for k in range(1, slots)]), F.lit(20 * slots)).alias("cuts")
+    counts = cut(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("m")))
+    bounds = counts.groupBy(*keys).agg(cuts, F.sum("m").alias("n"))
+    slotted = counts.join(bounds, keys).withColumn("slot", F.size(F.filter("cuts", lambda c: c < F.col(value))))
+    of_key = Window.partitionBy(*keys)
+    sums = slotted.groupBy(*keys, "slot", "n").agg(F.sum("m").alias("in_slot"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("in_slot").over(of_key.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    chosen = sums.where((F.col("before") <= place) & (place < F.col("before") + F.col("in_slot"))).select(*keys, "slot", "before")
+    inside = slotted.join(chosen, [*keys, "slot"])
+    upto = inside.withColumn("upto", F.col("before") + F.sum("m").over(of_key.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     return upto.where(F.col("upto") > place).groupBy(*keys).agg(F.min(value).alias("value"))
 
 
@@ -88,7 +99,7 @@ def latest_unique(rows: DataFrame, keys: list[str], value: str, order: list[str]
     return seen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(*keys, value, "place")
 
 
-def components(cells: DataFrame, key: str, diagonal: bool = True, checkpoint_every: int = 4) -> DataFrame:
+def components(cells: DataFrame, key: str, diagonal: bool = True) -> DataFrame:
     """key, x, y and label (least y * 2^32 + x of the component) of grid cells joined to their neighbours.
 
     Labels spread to neighbours and, through the cell they name, by jumps; the number of rounds grows with the logarithm
@@ -98,12 +109,12 @@ def components(cells: DataFrame, key: str, diagonal: bool = True, checkpoint_eve
     steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0) and (diagonal or 0 in (dx, dy))]
     moved = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])
     while True:
-        now = now.checkpoint()
+        now = cut(now)
         told = now.select(key, "label", F.explode(moved).alias("to")).select(key, "to.x", "to.y", "label").groupBy(key, "x", "y").agg(F.min("label").alias("near"))
         spread = now.join(told, [key, "x", "y"], "left").withColumn("near", F.least("label", F.coalesce("near", "label")))
         of = now.select(key, F.col("code").alias("near"), F.col("label").alias("far"))
         new = spread.join(of, [key, "near"], "left").select(key, "x", "y", "code", F.least("near", F.coalesce("far", "near")).alias("new"), "label")
-        new = new.checkpoint()
+        new = cut(new)
         if not new.where("new < label").limit(1).count():
             return now.select(key, "x", "y", "label")
         now = new.select(key, "x", "y", "code", F.col("new").alias("label"))

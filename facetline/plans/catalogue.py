@@ -168,7 +168,7 @@ def adaptive_weights(spark, d):
 b AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ref_id) AS INTEGER) AS rank FROM a)
 SELECT query_id, ref_id, round(s, 6) AS score, rank FROM b WHERE rank <= 10""")
 def adaptive_fusion_topk(spark, d):
-    dims = _dims(_short(spark, d)).persist()  # six rows for each of a query's 50
+    dims = K.cut(_dims(_short(spark, d)))  # six rows for each of a query's 50
     return K.ranked(R.fused(dims, R.adaptive_weights(dims, _PRIOR)), 10).select("query_id", "ref_id", _six("score"), "rank")
 
 
@@ -178,7 +178,7 @@ c AS (SELECT query_id, dim, max(top) - max(m) AS lead, sqrt(avg((score - m) * (s
 e2 AS (SELECT query_id, dim, CASE WHEN sp > 0 AND lead > 0 THEN lead / (sp + 1e-9) WHEN lead > 0 THEN lead ELSE 0 END AS raw FROM c)
 SELECT query_id, dim, round(CASE WHEN sum(raw) OVER w <= 1e-9 THEN 1.0::DOUBLE / count(*) OVER w ELSE raw / sum(raw) OVER w END, 6) AS weight FROM e2 WINDOW w AS (PARTITION BY query_id)""")
 def dispersion_weights(spark, d):
-    return R.dispersion_weights(_dims(_short(spark, d)).persist()).select("query_id", "dim", _six("weight"))
+    return R.dispersion_weights(K.cut(_dims(_short(spark, d)))).select("query_id", "dim", _six("weight"))
 
 
 @query(f"""WITH {_SHORT} SELECT query_id, ref_id, round(whole, 6) AS whole FROM (SELECT *, max(whole) OVER (PARTITION BY query_id) AS best FROM s WHERE ref_id <> query_id)
@@ -204,10 +204,10 @@ def two_stage_search(spark, d):
 @query(f"""WITH {_HEAD}, t AS (SELECT query_id, ref_id, score, 1 AS stage, rank FROM head UNION ALL
 SELECT query_id, ref_id, pref, 2, rank FROM o WHERE rank > {SHORT}),
 u AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY stage, CASE WHEN stage = 1 THEN rank ELSE 0 END, score DESC, ref_id) AS INTEGER) AS place FROM t)
-SELECT query_id, ref_id, round(score, 6) AS score, stage, place AS rank FROM u WHERE place <= 80""")
+SELECT query_id, ref_id, round(score, 6) AS score, stage, place AS rank FROM u""")
 def append_tail_union(spark, d):
-    wide = _searched(spark, d, K.preference, 80)  # the report has 80 rows a query: 50 of the head and 30 behind it
-    return R.with_tail(_head(_short(spark, d)), wide.withColumnRenamed("score", "pref"), 80).select("query_id", "ref_id", _six("score"), "stage", "rank")
+    every = _searched(spark, d, K.preference, _vectors(spark, d).count())  # the whole tail is the report: queries x rows
+    return R.with_tail(_head(_short(spark, d)), every.withColumnRenamed("score", "pref")).select("query_id", "ref_id", _six("score"), "stage", "rank")
 
 
 @query(_ranked_sql(_PREF, 5))
@@ -317,17 +317,41 @@ def _cells(spark, d) -> DataFrame:
     return each.select("vec_id", (F.col("i") % SIDE).cast("long").alias("x"), F.floor(F.col("i") / SIDE).cast("long").alias("y"), "v")
 
 
-def _neighbours(cells: DataFrame, value: str) -> DataFrame:
-    """Each cell with the values of itself and its up to eight neighbours."""
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    to = cells.select("vec_id", "x", "y", F.col(value).alias("near"), F.explode(steps).alias("s")).select("vec_id", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "near")
-    return to.where(F.col("x").between(0, SIDE - 1) & F.col("y").between(0, SIDE - 1)).groupBy("vec_id", "x", "y").agg(F.collect_list("near").alias("near"))  # nine at most
+def _around(grids: DataFrame, kernel, kind: str) -> DataFrame:
+    """vec_id and v, the grids that ``kernel`` makes of (rows, 9, side, side): each cell and its neighbours, nan beyond the
+    edge. Grids stay where they lie."""
+    import numpy as np
+    import pyarrow as pa
+
+    def near(cells: np.ndarray) -> np.ndarray:
+        wide = np.pad(cells, ((0, 0), (1, 1), (1, 1)), constant_values=np.nan)
+        return np.stack([wide[:, dy : dy + SIDE, dx : dx + SIDE] for dy in range(3) for dx in range(3)], axis=1)
+
+    def run(batches):
+        for batch in batches:
+            cells = np.stack(batch.column("e").to_numpy(zero_copy_only=False)).reshape(-1, SIDE, SIDE) if len(batch) else np.empty((0, SIDE, SIDE))
+            made = kernel(near, cells).reshape(len(batch), SIDE * SIDE)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(list(made), pa.list_(pa.from_numpy_dtype(made.dtype)))], ["vec_id", "v"])
+
+    return grids.mapInArrow(run, f"vec_id long, v array<{kind}>")
+
+
+def _spread(grids: DataFrame, value: str) -> DataFrame:
+    each = grids.select("vec_id", F.posexplode(value).alias("i", value))
+    return each.select("vec_id", (F.col("i") % SIDE).cast("long").alias("x"), F.floor(F.col("i") / SIDE).cast("long").alias("y"), value)
 
 
 @query(f"""WITH {_G}, n AS (SELECT a.vec_id, a.x, a.y, list(b.v ORDER BY b.v) AS l FROM c a JOIN c b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.vec_id, a.x, a.y)
 SELECT vec_id, x, y, round(l[len(l) // 2 + 1], 6) AS v FROM n""")
 def median3_filter(spark, d):
-    return _neighbours(_cells(spark, d), "v").select("vec_id", "x", "y", F.round(V.upper_median("near"), 6).alias("v"))
+    import numpy as np
+
+    def upper_median(near, cells):
+        values = np.sort(near(cells), axis=1)  # nan last
+        middle = (~np.isnan(values)).sum(axis=1, keepdims=True) // 2
+        return np.take_along_axis(values, middle, axis=1)
+
+    return _spread(_around(_vectors(spark, d), upper_median, "double"), "v").withColumn("v", F.round("v", 6))
 
 
 _MASK = f"{_G}, m AS (SELECT vec_id, x, y, CASE WHEN v > 0 THEN 1 ELSE 0 END AS m FROM c)"
@@ -339,9 +363,13 @@ er AS (SELECT a.vec_id, a.x, a.y, CASE WHEN sum(b.m) = 9 THEN 1 ELSE 0 END AS m
 SELECT vec_id, x, y, m FROM er WHERE m = 1""")
 def morph_close(spark, d):
     """Dilation, then erosion, in which cells at the edge never stay."""
-    mask = _cells(spark, d).select("vec_id", "x", "y", (F.col("v") > 0).cast("int").alias("m"))
-    grown = _neighbours(mask, "m").select("vec_id", "x", "y", F.array_max("near").alias("m"))
-    return _neighbours(grown, "m").where(V.total(F.transform("near", lambda x: x.cast("double"))) == 9).select("vec_id", "x", "y", F.lit(1).alias("m"))
+    import numpy as np
+
+    def closed(near, cells):
+        grown = np.nanmax(near((cells > 0).astype(float)), axis=1)
+        return (np.nan_to_num(near(grown)).sum(axis=1) == 9).astype(np.int32)
+
+    return _spread(_around(_vectors(spark, d), closed, "int"), "v").where("v = 1").withColumnRenamed("v", "m")
 
 
 @query(f"""WITH RECURSIVE {_MASK}, k AS (SELECT vec_id, x, y, y * 8 + x AS id FROM m WHERE m = 1),
@@ -349,22 +377,11 @@ r AS (SELECT vec_id, id AS start, x, y FROM k UNION SELECT k.vec_id, r.start, k.
 l AS (SELECT vec_id, x, y, min(start) AS label FROM r GROUP BY vec_id, x, y)
 SELECT vec_id, CAST(label % 8 AS BIGINT) AS x, CAST(label // 8 AS BIGINT) AS y, count(*) AS area FROM l GROUP BY vec_id, label HAVING count(*) >= 3""")
 def components_area(spark, d):
-    _checkpoints(spark)
     named = T.components(_cells(spark, d).where("v > 0").select("vec_id", "x", "y"), "vec_id")
     areas = named.groupBy("vec_id", "label").agg(F.count("*").alias("area")).where("area >= 3")
     return areas.select("vec_id", F.pmod("label", F.lit(1 << 32)).alias("x"), F.floor(F.col("label") / (1 << 32)).alias("y"), "area")
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-
-
 @query(f"""WITH {_MASK}, b AS (SELECT vec_id, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, avg(x + 0.5::DOUBLE) AS cx, avg(y + 0.5::DOUBLE) AS cy FROM m WHERE m = 1 GROUP BY vec_id)
 SELECT vec_id, any_value(area) AS area, any_value(x0) AS x0, any_value(y0) AS y0, any_value(x1) AS x1, any_value(y1) AS y1, round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy,
   round(2.02::DOUBLE * max(sqrt((x + 0.5::DOUBLE - cx) * (x + 0.5::DOUBLE - cx) + (y + 0.5::DOUBLE - cy) * (y + 0.5::DOUBLE - cy))), 6) AS side FROM m JOIN b USING (vec_id) WHERE m = 1 GROUP BY vec_id""")
@@ -445,9 +462,9 @@ def positional_percentile(spark, d):
 
 
 @query("""WITH s AS (SELECT user_id, event_type, max((ts, event_id)) AS seen FROM events GROUP BY user_id, event_type)
-SELECT user_id, event_type, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, event_type) AS place FROM s) WHERE place <= 3""")
+SELECT user_id, event_type, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, event_type) AS place FROM s) WHERE place <= 8""")
 def latest_unique_history(spark, d):
-    return T.latest_unique(_table(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"], 3)
+    return T.latest_unique(_table(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"])
 
 
 @query(r"""SELECT page_id, lower(regexp_extract(url, '(\.[^./\\]*)$', 1)) AS ext, regexp_extract(url, '([^/]*)$', 1) AS base,
@@ -457,10 +474,17 @@ def ext_filter_basename(spark, d):
     return pages.select("page_id", S.extension("url").alias("ext"), S.base_name("url").alias("base"), S.relative_to("url", F.lit("https:/")).alias("rel"))
 
 
-@query("""WITH h AS (SELECT page_id, lower(substr(html, 1, 1024)) AS t FROM pages)
-SELECT page_id, CASE WHEN starts_with(t, 'riff') AND substr(t, 9, 4) = 'webp' THEN 'webp' WHEN contains(t, '<svg') THEN 'svg' WHEN starts_with(t, 'bm') THEN 'bmp' ELSE '' END AS kind FROM h""")
+#: beginnings that stand before every sixteenth page each, and before the others none
+_BEGINS = (" \t\r\n", "\ufeff", "RIFF1234WEBP", "riff1234webp", "RIFF1234WAVE", "AAAAftypavif", "aaaaFTYPavis", "AAAAftypheic", "BM", "bm", "\ufeff \nBm", "x", " x<!DOCTYPE SVG", "<SVG", "ftypavif")
+_BEGIN_SQL = "CASE page_id % 16 " + " ".join(f"WHEN {k} THEN '{x.replace(chr(0xFEFF), '')}'" if chr(0xFEFF) not in x else f"WHEN {k} THEN chr(65279) || '{x.replace(chr(0xFEFF), '')}'" for k, x in enumerate(_BEGINS)) + " ELSE '' END"
+
+
+@query(f"""WITH h AS (SELECT page_id, lower(regexp_replace(substr({_BEGIN_SQL} || html, 1, 1024), '^[ \t\r\n' || chr(65279) || ']+', '')) AS t FROM pages)
+SELECT page_id, CASE WHEN starts_with(t, 'riff') AND substr(t, 9, 4) = 'webp' AND length(t) > 12 THEN 'webp' WHEN substr(t, 5, 4) = 'ftyp' AND substr(t, 9, 4) IN ('avif', 'avis') THEN 'avif'
+  WHEN contains(t, '<svg') OR contains(t, '<!doctype svg') THEN 'svg' WHEN starts_with(t, 'bm') THEN 'bmp' ELSE '' END AS kind FROM h""")
 def sniff_format(spark, d):
-    return _table(spark, d, "pages").select("page_id", S.sniff("html").alias("kind"))
+    begin = F.coalesce(F.try_element_at(F.array(*map(F.lit, _BEGINS)), (F.col("page_id") % 16 + 1).cast("int")), F.lit(""))
+    return _table(spark, d, "pages").select("page_id", S.sniff(F.concat(begin, "html")).alias("kind"))
 
 
 # -- model and index --------------------------------------------------------------------------------------------------
@@ -497,30 +521,41 @@ def _network():
     return Network.by_rule(RANKER, lambda r, c: ((r * 7 + c * 3) % 11 - 3) / 200, lambda r: 0.0)
 
 
+def _asked(spark, d, extra: bool = False) -> dict:
+    """Descriptors of every twentieth drawing, turned by 90 degrees and put on a background. They are made in the tasks."""
+    import pickle
+
+    import numpy as np
+    import pandas as pd
+
+    from . import image_search as I
+
+    def describe(batches):
+        for b in batches:
+            found = [I.describe(I.on_background(np.rot90(I.from_grid(e, x)).copy()), True, extra) for e, x in zip(b["embedding"], b["label"], strict=True)]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "found": [pickle.dumps(q) for q in found]})
+
+    rows = _table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding", "label").repartition(spark.sparkContext.defaultParallelism)
+    made = {r["vec_id"]: pickle.loads(bytes(r["found"])) for r in rows.mapInPandas(describe, "vec_id long, found binary").toLocalIterator()}
+    return {i: q for i, q in sorted(made.items()) if q and (not extra or q.get("occ64") is not None)}
+
+
 @query()
 def image_search_e2e(spark, d):
     """Every twentieth drawing, turned by 90 degrees and put on a background, against the drawings of all vectors."""
-    import numpy as np
-
     from . import image_search as I
 
-    asked = _table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding", "label").toLocalIterator()
-    queries = {r["vec_id"]: I.describe(I.on_background(np.rot90(I.from_grid(r["embedding"], r["label"])).copy()), True) for r in asked}
-    index = I.drawings(spark, d).persist()
-    return I.ranked(index, {i: q for i, q in queries.items() if q}, 5, _network()).select("query_id", "ref_id", _six("score"), "stage", "rank")
+    index = K.cut(I.drawings(spark, d))
+    return I.ranked(index, _asked(spark, d), 5, _network()).select("query_id", "ref_id", _six("score"), "stage", "rank")
 
 
 @query()
 def shape_search_e2e(spark, d):
     """As image_search_e2e, by shape alone."""
-    import numpy as np
-
     from . import image_search as I
 
-    asked = _table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding", "label").toLocalIterator()
-    queries = {r["vec_id"]: I.describe(I.on_background(np.rot90(I.from_grid(r["embedding"], r["label"])).copy()), True, True) for r in asked}
-    index = I.drawings(spark, d, True).persist()
-    return I.expert_ranked(index, {i: q for i, q in queries.items() if q and q.get("occ64") is not None}, 5).select("query_id", "ref_id", _six("score"), "rank")
+    index = K.cut(I.drawings(spark, d, True))
+    return I.expert_ranked(index, _asked(spark, d, True), 5).select("query_id", "ref_id", _six("score"), "rank")
 
 
 def _kernel(name: str, function, kind: str = "array<double>"):
@@ -594,6 +629,10 @@ for _name, _function, _kind in (
 @query()
 def assignment_cost(spark, d):
     """Least cost of matching the eight rows of a vector's grid to those of the vector with the next id, by distance."""
+    return _assigned(spark, d, 8)
+
+
+def _assigned(spark, d, n: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
@@ -606,8 +645,17 @@ def assignment_cost(spark, d):
         for b in batches:
             costs = []
             for x, y in zip(b["e"], b["f"], strict=True):
-                cost = np.sqrt(((x.reshape(8, 1, 8) - y.reshape(1, 8, 8)) ** 2).sum(axis=-1))
-                costs.append(round(float(cost[np.arange(8), assignment(cost)].sum()), 6))
+                cost = np.sqrt(((x.reshape(8, 1, 8)[:n] - y.reshape(1, 8, 8)[:, :n]) ** 2).sum(axis=-1))
+                costs.append(round(float(cost[np.arange(n), assignment(cost)].sum()), 6))
             yield pd.DataFrame({"vec_id": b["vec_id"], "cost": costs})
 
     return both.mapInPandas(run, "vec_id long, cost double")
+
+
+@query(f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), i AS (SELECT unnest(range(0, 4)) AS k),
+p AS (SELECT a.k AS a, b.k AS b, c.k AS c, d.k AS d FROM i a, i b, i c, i d WHERE a.k <> b.k AND a.k <> c.k AND a.k <> d.k AND b.k <> c.k AND b.k <> d.k AND c.k <> d.k),
+m AS (SELECT x.vec_id, {' + '.join(f"list_distance(x.e[{8 * r + 1}:{8 * r + 8}], y.e[{c} * 8 + 1 : {c} * 8 + 8])" for r, c in enumerate('abcd'))} AS cost FROM v x JOIN v y ON y.vec_id = x.vec_id + 1, p)
+SELECT vec_id, round(min(cost), 6) AS cost FROM m GROUP BY vec_id""")
+def assignment_cost_of_four(spark, d):
+    """As assignment_cost, of the first four rows, where all permutations can be tried."""
+    return _assigned(spark, d, 4)

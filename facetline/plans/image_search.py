@@ -81,6 +81,25 @@ def cheap_scores(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return 0.4 * shared + 0.2 * sum(search.cosine(q[:, p], r[:, p]) for p in part[1:])
 
 
+def _asked_of(listed: DataFrame, index: DataFrame, columns: tuple) -> DataFrame:
+    """Rows of the index with ``asked``, the query_id and other columns of the pairs they are in: pairs go to where the wide
+    rows lie, and those are not shuffled while the pairs can be broadcast."""
+    pairs = listed.groupBy("ref_id").agg(F.collect_list(F.struct(*[c for c in listed.columns if c != "ref_id"])).alias("asked"))  # one for each query at most
+    small = listed.count() <= search.BROADCAST
+    return index.select("ref_id", *columns).join(F.broadcast(pairs) if small else pairs, "ref_id")
+
+
+def _by_query(batch: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Each query with its rows of a batch, and what else its pairs say."""
+    named = batch.explode("asked", ignore_index=True)
+    told = pd.DataFrame(named.pop("asked").tolist(), index=named.index)
+    yield from pd.concat([named, told], axis=1).groupby("query_id")
+
+
+#: columns that pairs are made of
+PAIRED = ("hist", "radial", "ang_mag", "polar_shape", "polar_col", "zern", "mask", "occ64", "occ_bbox64", "patch", "patch_bbox", "regions", "fourier", "rad")
+
+
 def _pair_vectors(queries: dict[int, dict]):
     """27 values of each pair: seven similarities, mask, gate (0 here), mono, 16 rings, expert score."""
 
@@ -88,15 +107,18 @@ def _pair_vectors(queries: dict[int, dict]):
         ready: dict[int, tuple[dict, np.ndarray]] = {}
         for batch in batches:
             out = []
-            for name, group in batch.groupby("query_id"):
+            for name, group in _by_query(batch):
                 if name not in ready:
                     q = queries[name]
                     ready[name] = (P.prepared(q) if q.get("occ64") is not None else q, P.mask_turns(q["mask"]))
                 q, turns = ready[name]
                 dice = P.mask_scores(turns, float(q["mask"].sum()), np.stack(group["mask"].to_numpy()))
-                for (_, r), mask in zip(group.iterrows(), dice, strict=True):
-                    both = "occ_turns" in q and r["occ64"] is not None
-                    v = [*P.seven(q, r), float(mask), 0.0, float(q["mono"]), *P.polar_detail(q["polar_shape"], r["polar_shape"]), P.expert(q, r) if both else 0.0]
+                shaped = group["occ64"].notna().to_numpy() if "occ_turns" in q else np.zeros(len(group), bool)
+                expert = np.zeros(len(group))
+                if shaped.any():
+                    expert[shaped] = P.experts(q, group[shaped])
+                for r, mask, known in zip(group.to_dict("records"), dice, expert, strict=True):
+                    v = [*P.seven(q, r), float(mask), 0.0, float(q["mono"]), *P.polar_detail(q["polar_shape"], r["polar_shape"]), float(known)]
                     out.append((name, r["ref_id"], r["pref"], v[0], [float(x) for x in v]))
             yield pd.DataFrame(out, columns=["query_id", "ref_id", "pref", "hist", "v"])
 
@@ -107,10 +129,11 @@ def _contexts(queries: dict[int, dict]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[int, list] = {}
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                turns = ready.get(r.query_id) or ready.setdefault(r.query_id, P.context_turns(queries[r.query_id]["mask"]))
-                out.append((r.query_id, r.ref_id, P.context_similarity(turns, P.contexts(P.context_points(r.mask)))))
+            out, own = [], [P.contexts(P.context_points(m)) for m in batch["mask"]]
+            for ref, asked, context in zip(batch["ref_id"], batch["asked"], own, strict=True):
+                for name in (a["query_id"] for a in asked):
+                    turns = ready.get(name) or ready.setdefault(name, P.context_turns(queries[name]["mask"]))
+                    out.append((name, ref, P.context_similarity(turns, context)))
             yield pd.DataFrame(out, columns=["query_id", "ref_id", "second"])
 
     return run
@@ -124,22 +147,23 @@ def ranked(index: DataFrame, queries: dict[int, dict], k: int | None = 5, networ
     index = index.where("error IS NULL")
     asked = spark.createDataFrame([(i, [float(x) for x in q["cheap"]]) for i, q in sorted(queries.items())], "id long, vector array<double>")
     most = index.count() if k is None else max(k, short)
-    # a row for each query and place on its list: kept, as the short list and the rows behind it both read them
-    cheap = search.top_k(index.select("ref_id", "cheap"), asked, cheap_scores, most).withColumnRenamed("score", "pref").persist()
+    # a row for each query and place on its list: written, as the short list and the rows behind it both read them
+    cheap = search.top_k(index.select("ref_id", "cheap"), asked, cheap_scores, most).withColumnRenamed("score", "pref")
+    cheap = search.cut(cheap)
     if network is None:
         return cheap.where(F.col("rank") <= most if k is None else F.col("rank") <= k).select("query_id", "ref_id", F.col("pref").alias("score"), F.lit(2).alias("stage"), "rank")
     listed = cheap.where(F.col("rank") <= short).select("query_id", "ref_id", "pref")
-    # few rows, much work on each: a task for each core, and a query's turns are made in one task only
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = listed.join(index, "ref_id").repartition(tasks, "query_id").mapInPandas(_pair_vectors(queries), "query_id long, ref_id long, pref double, hist double, v array<double>")
+    pairs = _asked_of(listed, index, PAIRED).mapInPandas(_pair_vectors(queries), "query_id long, ref_id long, pref double, hist double, v array<double>")
     gated = pairs.withColumn("gate", ranking.family_gate("hist"))
-    gated = gated.withColumn("v", F.concat(F.slice("v", 1, 8), F.array(F.col("gate").cast("double")), F.slice("v", 10, 18))).persist()
+    gated = gated.withColumn("v", F.concat(F.slice("v", 1, 8), F.array(F.col("gate").cast("double")), F.slice("v", 10, 18)))
+    gated = search.cut(gated)
     scored = mlp.predicted(ranking.with_leads(gated, "v"), "v", network)
     order = ranking.per_query().orderBy(F.desc("score"), F.desc("hist"), F.desc("gate"), "ref_id")
     first = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= refine)
-    second = first.select("query_id", "ref_id").join(index.select("ref_id", "mask"), "ref_id").repartition(tasks, "query_id").mapInPandas(_contexts(queries), "query_id long, ref_id long, second double")
-    head = ranking.blended(scored.join(second, ["query_id", "ref_id"], "left"), refine, blend).select("query_id", "ref_id", "score", "rank").persist()
-    return ranking.with_tail(head, cheap.select("query_id", "ref_id", "pref"), k)
+    first = search.cut(first.select("query_id", "ref_id"))
+    second = _asked_of(first, index, ("mask",)).mapInPandas(_contexts(queries), "query_id long, ref_id long, second double")
+    head = ranking.blended(scored.join(second, ["query_id", "ref_id"], "left"), refine, blend).select("query_id", "ref_id", "score", "rank")
+    return ranking.with_tail(search.cut(head), cheap.select("query_id", "ref_id", "pref"), k)
 
 
 def from_grid(values, label: int, cell: int = 6, margin: int = 8) -> np.ndarray:
@@ -191,12 +215,13 @@ def _row(r, columns: tuple) -> dict:
 
 
 def _global(queries: dict[int, dict]):
-    ready = {i: P.prepared(q) for i, q in queries.items()}
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: dict[int, dict] = {}
         for batch in batches:
-            out = [(i, r["ref_id"], P.expert(q, r)) for _, r in batch.iterrows() for i, q in ready.items()]
-            yield pd.DataFrame(out, columns=["query_id", "ref_id", "global"])
+            for i, q in queries.items():
+                if i not in ready:
+                    ready[i] = P.prepared(q)
+                yield pd.DataFrame({"query_id": i, "ref_id": batch["ref_id"], "global": P.experts(ready[i], batch)})
 
     return run
 
@@ -208,13 +233,15 @@ def _six(queries: dict[int, dict]):
         ready: dict[int, dict] = {}
         for batch in batches:
             out = []
-            for _, r in batch.iterrows():
-                if r["query_id"] not in ready:
-                    q = queries[r["query_id"]]
-                    ready[r["query_id"]] = P.prepared(q) | {"contour_turns": P.contour_turns(q["points"])}
-                q, ref = ready[r["query_id"]], _row(r, SIX)
-                v = (*P.grids(q, ref), P.region_similarity(q["regions"], ref["regions"]), P.hog_shifts(q["hog"], ref["hog"]), P.contour_similarity(q, ref), P.cosine(q["fourier"], ref["fourier"]))
-                out += [(r["query_id"], r["ref_id"], dim, float(x)) for dim, x in zip(PRIOR, v, strict=True)]
+            refs = [_row(r, SIX) for r in batch[list(SIX)].to_dict("records")]
+            for ref_id, ref, asked in zip(batch["ref_id"], refs, batch["asked"], strict=True):
+                for name in (a["query_id"] for a in asked):
+                    if name not in ready:
+                        q = queries[name]
+                        ready[name] = P.prepared(q) | {"contour_turns": P.contour_turns(q["points"])}
+                    q = ready[name]
+                    v = (*P.grids(q, ref), P.region_similarity(q["regions"], ref["regions"]), P.hog_shifts(q["hog"], ref["hog"]), P.contour_similarity(q, ref), P.cosine(q["fourier"], ref["fourier"]))
+                    out += [(name, ref_id, dim, float(x)) for dim, x in zip(PRIOR, v, strict=True)]
             yield pd.DataFrame(out, columns=["query_id", "ref_id", "dim", "score"])
 
     return run
@@ -226,11 +253,10 @@ def expert_ranked(index: DataFrame, queries: dict[int, dict], k: int = 5, cut: f
 
     ``index`` and ``queries`` are described with ``extra``; rows without a shape are left out. With fewer than three
     candidates the prior weights hold."""
-    spark = index.sparkSession
     live = index.where("error IS NULL AND occ64 IS NOT NULL")
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     wide = live.select("ref_id", "occ64", "occ_bbox64", "patch", "patch_bbox", "regions", "fourier", "rad")
     scores = wide.mapInPandas(_global(queries), "query_id long, ref_id long, global double")
     short = search.ranked(ranking.cut_or_all(scores, "global", cut), most, (F.desc("global"), F.asc("ref_id"))).select("query_id", "ref_id")
-    dims = short.join(live.select("ref_id", *SIX), "ref_id").repartition(tasks, "query_id").mapInPandas(_six(queries), "query_id long, ref_id long, dim string, score double").persist()
+    dims = _asked_of(search.cut(short), live, SIX).mapInPandas(_six(queries), "query_id long, ref_id long, dim string, score double")
+    dims = search.cut(dims)
     return search.ranked(ranking.fused(dims, ranking.adaptive_weights(dims, PRIOR)), k)

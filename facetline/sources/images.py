@@ -1,11 +1,12 @@
 """Image folders: which files count, what they are, and how their bytes become rasters.
 
-PNG is decoded in the tasks. JPEG, GIF and BMP go through Spark's image source, which decodes in the JVM, by their
+PNG is decoded in the tasks. JPEG, GIF, BMP and TIFF go through Spark's image source, which decodes in the JVM, by their
 extension; query images by their bytes. All other kinds need a converter: a function (bytes, kind) -> PNG bytes, which travels with the task.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
@@ -19,23 +20,23 @@ from ..functions import scalars as S
 from . import png
 
 Converter = Callable[[bytes, str], bytes]
-JVM = (".jpg", ".jpeg", ".gif", ".bmp")
+JVM = (".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff")
+LEADING = re.compile(rb"\A(?:[ \t\r\n]|\xef\xbb\xbf)+")
 
 
 def sniffed(data: bytes) -> str:
     """As ``functions.scalars.sniff``, with png, jpeg, gif and tiff besides."""
-    head = data[: S.HEAD]
-    low = head.lower()
-    if head.startswith(b"RIFF") and head[8:12] == b"WEBP":
+    for kind, begins in (("png", png.SIGNATURE), ("jpeg", b"\xff\xd8\xff"), ("gif", b"GIF8"), ("tiff", b"II*\x00"), ("tiff", b"MM\x00*")):
+        if data.startswith(begins):
+            return kind
+    low = LEADING.sub(b"", data[: S.HEAD]).lower()
+    if low.startswith(b"riff") and low[8:12] == b"webp" and len(low) > 12:
         return "webp"
-    if head[4:8] == b"ftyp" and b"avif" in head[8:32]:
+    if low[4:8] == b"ftyp" and low[8:12] in (b"avif", b"avis"):
         return "avif"
-    if b"<svg" in low:
+    if b"<svg" in low or b"<!doctype svg" in low:
         return "svg"
-    for kind, begins in (("bmp", b"BM"), ("png", png.SIGNATURE), ("jpeg", b"\xff\xd8\xff"), ("gif", b"GIF8"), ("tiff", b"II*\x00"), ("tiff", b"MM\x00*")):
-        if head.startswith(begins):
-            return kind
-    return ""
+    return "bmp" if low.startswith(b"bm") else ""
 
 
 def decode(data: bytes, hint: str = "", converter: Converter | None = None) -> np.ndarray:
@@ -59,8 +60,8 @@ def raster_of(image) -> np.ndarray:
 
 
 def decode_query(spark: SparkSession, data: bytes, converter: Converter | None = None) -> np.ndarray:
-    """As ``decode``, on the driver; JPEG, GIF and BMP by its JVM."""
-    if sniffed(data) not in ("jpeg", "gif", "bmp"):
+    """As ``decode``, on the driver; JPEG, GIF, BMP and TIFF by its JVM."""
+    if sniffed(data) not in ("jpeg", "gif", "bmp", "tiff"):
         return decode(data, "", converter)
     io, out = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io.ByteArrayOutputStream()
     found = io.read(spark._jvm.java.io.ByteArrayInputStream(bytearray(data)))
@@ -75,7 +76,7 @@ def _as_png(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def through_jvm(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
-    """``rows`` (path, content and others) with PNG as the content of the JPEG, GIF and BMP files under root. What the JVM
+    """``rows`` (path, content and others) with PNG as the content of the JPEG, GIF, BMP and TIFF files under root. What the JVM
     can't read keeps its content."""
     glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in JVM) + "}"
     image = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("_metadata.file_path", "image.*").where("height > 0")

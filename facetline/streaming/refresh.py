@@ -31,7 +31,7 @@ def follow(spark: SparkSession, folder: str, store: Store, checkpoint: str, buil
             return
         new = stale(batch, index).persist()
         if not new.isEmpty():
-            kept = index.join(new.select("path"), "path", "left_anti").select(*index.columns)
+            kept = index.drop("ref_id").join(new.select("path"), "path", "left_anti")
             store.publish(kept.unionByName(build(new)))
         new.unpersist()
 

@@ -96,7 +96,7 @@ def test_stream_takes_in_what_arrives(spark, library, tmp_path):
     assert sorted(r.path.rsplit("/")[-1] for r in store.load().collect()) == ["i0.png", "i1.png", "i2.png"] and store.version() == 2
 
 
-@pytest.mark.parametrize("kind", ["jpg", "gif", "bmp"])
+@pytest.mark.parametrize("kind", ["jpg", "gif", "bmp", "tif"])
 def test_kinds_of_the_jvm_are_built_and_searched(spark, tmp_path, kind):
     raster = np.full((48, 48, 3), 255, np.uint8)
     raster[8:40, 8:20] = raster[28:40, 8:40] = (200, 40, 30)
@@ -104,9 +104,9 @@ def test_kinds_of_the_jvm_are_built_and_searched(spark, tmp_path, kind):
     source = io.read(spark._jvm.java.io.ByteArrayInputStream(bytearray(png.encode(raster))))
     (tmp_path / "lib").mkdir()
     file = tmp_path / "lib" / f"a é%20.{kind.upper()}"
-    assert io.write(source, kind, spark._jvm.java.io.File(str(file)))
+    assert io.write(source, {"tif": "tiff"}.get(kind, kind), spark._jvm.java.io.File(str(file)))
     data = file.read_bytes()
-    assert images.sniffed(data) == {"jpg": "jpeg"}.get(kind, kind)
+    assert images.sniffed(data) == {"jpg": "jpeg", "tif": "tiff"}.get(kind, kind)
     e = Engine(spark, str(tmp_path / "index"))
     assert e.build(str(tmp_path / "lib")) == 1 and e.errors().count() == 0
     assert e.search(data)[0]["imageId"].endswith(file.name)

@@ -197,10 +197,19 @@ def test_shape_dimensions_take_the_best_of_36_turns_or_the_box():
     assert next(I._six({1: a})(iter([pd_row(turned)]))).set_index("dim").score["occ"] > 0.999
 
 
+def test_experts_of_many_rows_are_those_of_each():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    shapes = [D.shape(np.kron(np.dstack([rng.integers(40, 200, (8, 8))] * 3 + [np.where(rng.random((8, 8)) > 0.4, 255, 0)]), np.ones((6, 6, 1))).astype(np.uint8)) for _ in range(4)]
+    q = P.prepared(shapes[0])
+    assert np.allclose(P.experts(q, pd.DataFrame(shapes)), [P.expert(q, r) for r in shapes])
+
+
 def pd_row(found):
     import pandas as pd
 
-    return pd.DataFrame([{"query_id": 1, "ref_id": 2, **found}])
+    return pd.DataFrame([{"asked": [{"query_id": 1}], "ref_id": 2, **found}])
 
 
 def test_own_context_sweeps_36_turns(monkeypatch):

@@ -43,7 +43,7 @@ def test_converter_is_told_the_kind():
 
 
 def test_signatures(spark):
-    heads = [("svg", b"<svg></svg>"), ("svg", b'<?xml version="1.0"?><svg>'), ("webp", b"RIFFxxxxWEBPVP8 "), ("bmp", b"BM..."), ("", b"plain"), ("avif", b"\0\0\0\x1cftypavif")]
+    heads = [("svg", b"<svg></svg>"), ("svg", b'<?xml version="1.0"?><svg>'), ("webp", b"RIFFxxxxWEBPVP8 "), ("bmp", b"BM..."), ("", b"plain"), ("avif", b"\0\0\0\x1cftypavif"), ("svg", b"\xef\xbb\xbf \n<!DOCTYPE SVG"), ("bmp", b"  bm"), ("avif", b"AAAAftypavis"), ("", b"AAAAftypheic  avif"), ("webp", b"riffxxxxwebpV"), ("", b"RIFFxxxxWAVE")]
     for kind, head in heads:
         assert images.sniffed(head) == kind
     rows = spark.createDataFrame([(k, bytearray(h)) for k, h in heads], "kind string, head binary").select("kind", S.sniff("head").alias("got")).collect()
@@ -100,11 +100,24 @@ def test_index_refresh_sees_changes_only(spark, tmp_path):
     assert built[0] == 7 and built[-1] == 1 and second.count() == 6 and store.version() == 2
 
 
+def test_a_version_counts_once_it_is_done(spark, tmp_path):
+    store = index.Store(spark, str(tmp_path / "index"))
+    rows = lambda n: spark.createDataFrame([(f"p{k:02}",) for k in range(n)], "path string").repartition(3)
+    assert store.version() is None and store.load() is None
+    assert store.publish(rows(5)) == 1
+    # a build that ended before its mark: what it wrote is not seen, and not written over
+    rows(9).write.parquet(str(tmp_path / "index" / "version-2"))
+    assert store.version() == 1 and store.load().count() == 5
+    assert store.publish(rows(7)) == 3
+    got = [(r.path, r.ref_id) for r in store.load().orderBy("path").collect()]
+    assert [p for p, _ in got] == [f"p{k:02}" for k in range(7)] and [i for _, i in got] == sorted({i for _, i in got})
+
+
 def test_search_finds_turned_images_first(spark, tmp_path):
     folder = tmp_path / "lib"
     folder.mkdir()
     _library(folder)
-    rows = index.with_ids(I.described(images.contents(spark, images.files(spark, str(folder)), str(folder)))).persist()
+    rows = index.numbered(I.described(images.contents(spark, images.files(spark, str(folder)), str(folder)))).persist()
     ids = {r["path"].rsplit("/", 1)[-1]: r["ref_id"] for r in rows.select("path", "ref_id").collect()}
     asked = {k: I.describe(I.on_background(np.rot90(png.decode((folder / f"i{k}.png").read_bytes())).copy()), True) for k in range(3)}
     plain = I.ranked(rows, asked, 2)
@@ -119,7 +132,7 @@ def test_search_by_shape(spark, tmp_path):
     folder = tmp_path / "lib"
     folder.mkdir()
     _library(folder, 4)
-    rows = index.with_ids(I.described(images.contents(spark, images.files(spark, str(folder)), str(folder)), extra=True)).persist()
+    rows = index.numbered(I.described(images.contents(spark, images.files(spark, str(folder)), str(folder)), extra=True)).persist()
     ids = {r["path"].rsplit("/", 1)[-1]: r["ref_id"] for r in rows.select("path", "ref_id").collect()}
     asked = {k: I.describe(I.on_background(png.decode((folder / f"i{k}.png").read_bytes())), True, True) for k in range(2)}
     got = I.expert_ranked(rows, asked, 2).collect()
