@@ -245,11 +245,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * common >= p.percent * (total - common)).select("a", "b").distinct()
 
 
-def _blocks(mixed: DataFrame, p: Params) -> DataFrame:
-    """The rows of large buckets with block (from 0, the blocks of the bucket's largest component first) and other, once
+def _blocks(large: DataFrame, p: Params) -> DataFrame:
+    """Rows of large buckets with block (from 0, the blocks of the bucket's largest component first) and other, once
     for each block that a row's block is compared with."""
     blocks = {c: F.ceil(F.col(c) / p.block).cast("int") for c in ("most", "others")}
-    rows = mixed.where(F.col("members") > p.small).withColumn("others", F.col("members") - F.col("most"))
+    rows = large.withColumn("others", F.col("members") - F.col("most"))
     spread = F.xxhash64("node")
     own = F.when(F.col("label") == F.col("main"), F.pmod(spread, blocks["most"])).otherwise(blocks["most"] + F.pmod(spread, blocks["others"])).cast("int")
     first = F.when(F.col("label") == F.col("main"), blocks["most"]).otherwise(F.lit(0))
@@ -302,8 +302,9 @@ def grouped(documents: DataFrame, p: Params = Params()) -> DataFrame:
         mixed = scratch.put(tagged.join(mixed.select("bucket", "members", F.col("main.n").alias("most"), F.col("main.label").alias("main")), "bucket"), f"mixed-{step}", bound)
         if step == 1:  # later buckets are among these
             many = mixed.where(F.col("members") > p.small).select("node").distinct()
-            fine = scratch.put(sets.join(many, "node", "left_semi").mapInArrow(_fine(p), "node long, fine array<long>"), "fine")
-        rows = _blocks(mixed, p).join(nodes, "node").join(fine, "node")
+            fine = sets.join(many, "node", "left_semi").mapInArrow(_fine(p), "node long, fine array<long>")
+            fine = scratch.put(fine.join(nodes.select("node", "n_shingles", "keys"), "node"), "fine")
+        rows = _blocks(mixed.where(F.col("members") > p.small).join(fine, "node"), p)  # joined before rows are repeated
         rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", F.col("n_shingles").alias("size"), F.col("fine").alias("bits"), "keys")
         pairs = rows.groupBy("bucket", "i", "j").applyInPandas(_pairs(p, best_only), "a long, b long, low long, high long, match double").union(_small_pairs(mixed, nodes, p))
         if best_only:
