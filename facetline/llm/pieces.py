@@ -412,22 +412,32 @@ def _encode(path: str, n: int, with_ids: bool):
                 starts, ids, ranked = model.encode(texts, n)
                 ids = ids.astype("<u4")
                 back = model.decode(starts, ids)
-                whole, found = [], []
+                whole, crcs, ways, sizes, scores = [], [], [], [], []
                 for k, text in enumerate(texts.to_pylist()):
                     own = ids[starts[k] : starts[k + 1]]
-                    segmentations = [(score, changed(own, changes) if changes else own) for score, changes in ranked[k]]
                     same = all(b"".join(model.raw[x] for x in way) == b"".join(model.raw[x] for x in own[a:b].tolist()) for _, changes in ranked[k] for a, b, way in changes)
                     whole.append(same and back[k] == (text or "").encode())
-                    found.append([{"score": score, "n_tokens": len(way), "ids_crc32": zlib.crc32(way.tobytes())} | ({"ids": way.tolist()} if with_ids else {}) for score, way in segmentations])
-                columns = [part.column("row"), pa.array(np.diff(starts)), pa.array([f[0]["ids_crc32"] for f in found], pa.int64()), pa.array(found, _found_type(with_ids)), pa.array([zlib.crc32(x) for x in back], pa.int64()), pa.array(whole)]
+                    for score, changes in ranked[k]:
+                        way = changed(own, changes) if changes else own
+                        scores.append(score)
+                        sizes.append(len(way))
+                        crcs.append(zlib.crc32(way.tobytes()))
+                        if with_ids:
+                            ways.append(way)
+                parts = [pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())]
+                if with_ids:
+                    parts.append(pa.ListArray.from_arrays(_offsets(sizes), pa.array(np.concatenate(ways).view(np.int32) if ways else np.empty(0, np.int32))))
+                heads = _offsets([len(x) for x in ranked])
+                found = pa.ListArray.from_arrays(heads, pa.StructArray.from_arrays(parts, ["score", "n_tokens", "ids_crc32", "ids"][: len(parts)]))
+                best = pa.array(crcs, pa.int64()).take(heads[:-1])
+                columns = [part.column("row"), pa.array(np.diff(starts)), best, found, pa.array([zlib.crc32(x) for x in back], pa.int64()), pa.array(whole)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "ids_crc32", "segmentations", "decoded_crc32", "round_trip"])
 
     return run
 
 
-def _found_type(with_ids: bool) -> pa.DataType:
-    fields = [("score", pa.float64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
-    return pa.list_(pa.struct(fields + [("ids", pa.list_(pa.int32()))] * with_ids))
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
 def default_model() -> str:
