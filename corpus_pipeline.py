@@ -37,9 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every row: the ids of its best segmentations, best first."""
-    out = pieces.encoded(docs, pieces.default_model(), with_ids=True)
-    return out.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids_crc32", "round_trip", F.col("segmentations.score").alias("scores"), F.col("segmentations.ids").alias("ids"))
+    """Tokens of every row: the ids of its best segmentation, and scores, numbers and checksums of its three best."""
+    out = pieces.encoded(docs, pieces.default_model(), with_ids=1)
+    return out.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids_crc32", "round_trip", F.col("segmentations")[0]["ids"].alias("ids"), *(F.col(f"segmentations.{c}").alias(f"nbest_{c}") for c in ("score", "n_tokens", "ids_crc32")))
 
 
 STAGES = [

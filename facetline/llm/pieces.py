@@ -42,7 +42,7 @@ MARKS = ".,;:!?|%&$*#\"')(-"
 LINES = re.compile("(\n)")
 NO_LOSS = float("inf")
 #: parts that are searched at once
-TOGETHER = 8_192
+TOGETHER = 4_096
 Edge = tuple[int, int, int, float]  # start, end, piece id (below 0: minus the code point of an unknown character), score
 Choice = tuple[float, tuple[tuple[int, int, list[int]], ...]]  # score; (from, to, ids) in place of the best one's ids
 
@@ -403,11 +403,11 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _encode(path: str, n: int, with_ids: bool):
+def _encode(path: str, n: int, with_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in kit.unpacked(batches):
-            for part in kit.slices(batch, limit=1 << 20):
+            for part in kit.slices(batch, limit=1 << 19):
                 texts = part.column("text")
                 starts, ids, ranked = model.encode(texts, n)
                 ids = ids.astype("<u4")
@@ -417,16 +417,15 @@ def _encode(path: str, n: int, with_ids: bool):
                     own = ids[starts[k] : starts[k + 1]]
                     same = all(b"".join(model.raw[x] for x in way) == b"".join(model.raw[x] for x in own[a:b].tolist()) for _, changes in ranked[k] for a, b, way in changes)
                     whole.append(same and back[k] == (text or "").encode())
-                    for score, changes in ranked[k]:
+                    for rank, (score, changes) in enumerate(ranked[k]):
                         way = changed(own, changes) if changes else own
                         scores.append(score)
                         sizes.append(len(way))
                         crcs.append(zlib.crc32(way.tobytes()))
-                        if with_ids:
-                            ways.append(way)
+                        ways.append(way if rank < with_ids else way[:0])
                 parts = [pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())]
                 if with_ids:
-                    parts.append(pa.ListArray.from_arrays(_offsets(sizes), pa.array(np.concatenate(ways).view(np.int32) if ways else np.empty(0, np.int32))))
+                    parts.append(pa.ListArray.from_arrays(_offsets([len(x) for x in ways]), pa.array(np.concatenate(ways).view(np.int32) if ways else np.empty(0, np.int32))))
                 heads = _offsets([len(x) for x in ranked])
                 found = pa.ListArray.from_arrays(heads, pa.StructArray.from_arrays(parts, ["score", "n_tokens", "ids_crc32", "ids"][: len(parts)]))
                 best = pa.array(crcs, pa.int64()).take(heads[:-1])
@@ -446,10 +445,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encoded(documents: DataFrame, path: str, n: int = 3, with_ids: bool = False) -> DataFrame:
+def encoded(documents: DataFrame, path: str, n: int = 3, with_ids: int = 0) -> DataFrame:
     """row (a struct of all columns), n_tokens and ids_crc32 (of the ids of the best segmentation as little-endian unsigned
-    32-bit integers), segmentations (score, n_tokens and ids_crc32 of the ``n`` best of the whole text, best first, and on
-    demand their ids; fewer if there are no more), decoded_crc32 and round_trip (the decoded bytes of all of them are the
+    32-bit integers), segmentations (score, n_tokens and ids_crc32 of the ``n`` best of the whole text, best first, and the
+    ids of the first ``with_ids`` of them; fewer if there are no more), decoded_crc32 and round_trip (the decoded bytes of all of them are the
     text's) of every row of ``documents``.
 
     Null and empty texts have no tokens and one segmentation of score 0. Equal texts have equal results; an empty table
