@@ -85,13 +85,13 @@ def is_bpe(raw: bytes) -> bool:
 
 
 class Pieces:
-    """The vocabulary of a model as a trie, with the pairs of characters that some piece has side by side."""
+    """The vocabulary of a model, with the pairs of characters that some piece has side by side."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.trie: dict = {}  # character: [children, (piece id, score) or None]
+        self.known: dict[str, tuple[int, float]] = {}  # piece: id, score
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.pairs: set[str] = set()
         self.raw: list[bytes] = []
@@ -107,12 +107,9 @@ class Pieces:
                 self.raw.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else b"")
                 continue
             self.raw.append(piece.replace(SPACE, " ").encode())
-            children, node = self.trie, None
-            for c in piece:
-                node = children.setdefault(c, [{}, None])
-                children = node[0]
-            node[1] = (i, score_of[i])
+            self.known[piece] = (i, score_of[i])
             self.pairs.update(piece[k : k + 2] for k in range(len(piece) - 1))
+        self.longest = max(map(len, self.known), default=0)
         self.unknown = least - UNKNOWN_PENALTY
         self.lengths = np.array([len(x) for x in self.raw], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -122,64 +119,46 @@ class Pieces:
         self._tables()
 
     def _tables(self) -> None:
-        """The trie as arrays: children of the root by character, all others in a sorted list of (node, character)."""
-        characters = {c: k for k, c in enumerate(sorted({c for p in self._walk() for c in p[0][-1]}))}
+        """The pieces as a trie in arrays: children of the root by character, all others in a sorted list of (node,
+        character)."""
+        prefixes = sorted({p[:k] for p in self.known for k in range(1, len(p) + 1)}, key=lambda p: (len(p), p))
+        characters = {c: k for k, c in enumerate(sorted({p[-1] for p in prefixes}))}
         self.code = np.full(0x110000, len(characters), np.int32)
         for c, k in characters.items():
             self.code[ord(c)] = k
         self.base = len(characters) + 1
         self.first = np.full(self.base, -1, np.int64)
-        number, keys, to = {"": -1}, [], []
-        entries, scores = [], []
-        for prefix, node in self._walk():
-            k = number[prefix] = len(entries)
-            entries.append(node[1][0] if node[1] else -1)
-            scores.append(node[1][1] if node[1] else 0.0)
-            if len(prefix) == 1:
-                self.first[characters[prefix]] = k
-            else:
-                keys.append(number[prefix[:-1]] * self.base + characters[prefix[-1]])
-                to.append(k)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.to = np.array(keys, np.int64)[order], np.array(to, np.int64)[order]
-        self.entry, self.entry_score = np.array(entries, np.int64), np.array(scores)
-
-    def _walk(self) -> Iterator[tuple[str, list]]:
-        """(characters, node) of every node, parents first."""
-        todo = [(c, node) for c, node in self.trie.items()]
-        while todo:
-            following = []
-            for prefix, node in todo:
-                yield prefix, node
-                following += [(prefix + c, child) for c, child in node[0].items()]
-            todo = following
+        number = {p: k for k, p in enumerate(prefixes)}
+        inner = [p for p in prefixes if len(p) > 1]
+        for p in prefixes[: len(prefixes) - len(inner)]:
+            self.first[characters[p]] = number[p]
+        keys = np.array([number[p[:-1]] * self.base + characters[p[-1]] for p in inner], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.array([number[p] for p in inner], np.int64)[order]
+        entries = [self.known.get(p, (-1, 0.0)) for p in prefixes]
+        self.entry, self.entry_score = np.array([i for i, _ in entries], np.int64), np.array([score for _, score in entries])
 
     # -- lattice of one string ----------------------------------------------------------------------------------------
 
     def lattice(self, s: str) -> tuple[list[Edge], list[float], list[int]]:
         """Edges by start; the best score up to each position, and the edge by which it is reached."""
-        n, trie = len(s), self.trie
+        n = len(s)
         edges: list[Edge] = []
         best, back = [-NO_LOSS] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            score, j = best[i], i
-            node = trie.get(s[i])
-            if node is None or node[1] is None:
+            score = best[i]
+            if s[i] not in self.known:
                 if score + self.unknown > best[i + 1]:
                     best[i + 1], back[i + 1] = score + self.unknown, len(edges)
                 edges.append((i, i + 1, -ord(s[i]), self.unknown))
-            while node is not None:
-                j += 1
-                children, entry = node
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                entry = self.known.get(s[i:j])
                 if entry is not None:
                     piece, w = entry
                     if score + w > best[j]:
                         best[j], back[j] = score + w, len(edges)
                     edges.append((i, j, piece, w))
-                if j == n:
-                    break
-                node = children.get(s[j])
         return edges, best, back
 
     def nbest(self, s: str, n: int) -> Iterator[tuple[float, list[int]]]:

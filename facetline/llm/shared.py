@@ -57,11 +57,23 @@ def _delete(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: rows of text that go to Python at once, where the session has Spark's own 10,000: of whole documents those are tens of
+#: megabytes, held by the JVM beside its heap and by the worker
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def _smaller_batches(spark: SparkSession) -> None:
+    name, default, ours = BATCH
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, ours)
+
+
 class Scratch:
     """A folder of one operator call: ``put`` writes a table and reads it back, which cuts lineage
     and survives lost executors; ``drop`` removes tables that are no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        _smaller_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _roots.append(self.root)
@@ -102,6 +114,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def packed(documents: DataFrame) -> tuple[DataFrame, str]:
     """Documents as one struct column ``row``, and its type: so no column name clashes with what an operator adds."""
+    _smaller_batches(documents.sparkSession)
     rows = documents.select(F.struct("*").alias("row"))
     return rows, rows.schema["row"].dataType.simpleString()
 
