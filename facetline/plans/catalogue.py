@@ -558,7 +558,29 @@ def shape_search_e2e(spark, d):
     return I.expert_ranked(index, _asked(spark, d, True), 5).select("query_id", "ref_id", _six("score"), "rank")
 
 
-def _kernel(name: str, function, kind: str = "array<double>"):
+#: covered cells of the drawings, their pixels around the middle, and the sides that descriptors measure by
+_CELLS = f"{_G}, k AS (SELECT c.*, label FROM c JOIN embeddings USING (vec_id) WHERE v > 0)"
+_PIXELS = f"""{_CELLS}, px AS (SELECT vec_id, 8 + 6 * x + i AS x, 8 + 6 * y + j AS y FROM k, (SELECT unnest(range(0, 6)) AS i), (SELECT unnest(range(0, 6)) AS j)),
+ce AS (SELECT vec_id, sum(x)::DOUBLE / count(*) AS cx, sum(y)::DOUBLE / count(*) AS cy FROM px GROUP BY vec_id),
+po AS (SELECT vec_id, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS r, atan2(y - cy, x - cx) AS t FROM px JOIN ce USING (vec_id)),
+si AS (SELECT vec_id, sqrt(sum(r * r) / count(*)) AS rms, max(r) AS far FROM po GROUP BY vec_id)"""
+_COLOUR = ", ".join(f"floor(least(255, greatest(0, 90 + 70 * cos({k} * pi() / 3 + label * 0.6::DOUBLE) + 250 * least(v, 0.4::DOUBLE)))) / 255 AS {c}" for c, k in zip("rgb", (0, 2, 4), strict=True))
+_HISTOGRAM_SQL = f"""WITH {_CELLS}, rgb AS (SELECT vec_id, {_COLOUR} FROM k), top AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS span FROM rgb),
+hue AS (SELECT *, 60 * CASE WHEN span = 0 THEN 0 WHEN top = r THEN (g - b) / span WHEN top = g THEN (b - r) / span + 2 ELSE (r - g) / span + 4 END AS h, CASE WHEN top > 0 THEN span / top ELSE 0 END AS s FROM top),
+bins AS (SELECT vec_id, CAST((least(15, floor((CASE WHEN h < 0 THEN h + 360 ELSE h END) / 360 * 16)) * 6 + least(5, floor(s * 6))) * 3 + least(2, floor(top * 3)) AS INTEGER) AS bin FROM hue),
+n AS (SELECT vec_id, bin, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY vec_id) AS n FROM bins GROUP BY vec_id, bin),
+f AS (SELECT DISTINCT vec_id, unnest(range(0, 288)) AS bin FROM n),
+d AS (SELECT vec_id, list(round(coalesce(n, 0), 6) ORDER BY bin) AS v FROM f LEFT JOIN n USING (vec_id, bin) GROUP BY vec_id)
+SELECT vec_id, d.v FROM embeddings LEFT JOIN d USING (vec_id)"""
+_ZERNIKE_SQL = f"""WITH {_PIXELS}, o AS (SELECT n, unnest(range(0, n + 1, 2)) AS m FROM (SELECT unnest(range(0, 13)) AS n)),
+te AS (SELECT n, m, n - 2 * s AS e, (1 - 2 * (s % 2)) * factorial(CAST(n - s AS INTEGER))::DOUBLE / (factorial(CAST(s AS INTEGER))::DOUBLE * factorial(CAST(greatest(0, (n + m) // 2 - s) AS INTEGER))::DOUBLE * factorial(CAST(greatest(0, (n - m) // 2 - s) AS INTEGER))::DOUBLE) AS c FROM (SELECT n, m, unnest(range(0, (n - m) // 2 + 1)) AS s FROM o)),
+mo AS (SELECT vec_id, e, m, sum(pow(r / far, e) * cos(m * t)) AS re, sum(pow(r / far, e) * sin(m * t)) AS im FROM po JOIN si USING (vec_id), (SELECT DISTINCT e, m FROM te) GROUP BY vec_id, e, m),
+z AS (SELECT vec_id, n, m, sqrt(pow(sum(c * re), 2) + pow(sum(c * im), 2)) AS z FROM te JOIN mo USING (e, m) GROUP BY vec_id, n, m),
+d AS (SELECT vec_id, list(round(z / total, 6) ORDER BY n, m) AS v FROM (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY vec_id)) AS total FROM z) GROUP BY vec_id)
+SELECT vec_id, d.v FROM embeddings LEFT JOIN d USING (vec_id)"""
+
+
+def _kernel(name: str, function, kind: str, sql: str | None):
     def run(spark, d):
         import pandas as pd
 
@@ -571,7 +593,7 @@ def _kernel(name: str, function, kind: str = "array<double>"):
         return _table(spark, d, "embeddings").select("vec_id", "embedding", "label").mapInPandas(apply, f"vec_id long, v {kind}")
 
     run.__name__ = name
-    return query()(run)
+    return query(sql)(run)
 
 
 def _shape(name: str):
@@ -619,11 +641,12 @@ def _own_context(raster) -> float:
     return round(pairs.context_similarity(pairs.context_turns(a), pairs.contexts(pairs.context_points(b))), 6)
 
 
-for _name, _function, _kind in (
-    ("fourier_descriptor", _shape("fourier"), "array<double>"), ("hog_descriptor", _shape("hog"), "array<double>"), ("zernike_moments", _feature("zern"), "array<double>"), ("angular_spectrum", _feature("ang_mag"), "array<double>"),
-    ("colour_histogram", _feature("hist"), "array<double>"), ("skeleton", _skeleton_cells, "long"), ("mask_dice_rotation", _turned_dice, "double"), ("shape_context_sim", _own_context, "double"),
+for _name, _function, _kind, _sql in (
+    ("fourier_descriptor", _shape("fourier"), "array<double>", None), ("hog_descriptor", _shape("hog"), "array<double>", None), ("zernike_moments", _feature("zern"), "array<double>", _ZERNIKE_SQL),
+    ("angular_spectrum", _feature("ang_mag"), "array<double>", None), ("colour_histogram", _feature("hist"), "array<double>", _HISTOGRAM_SQL), ("skeleton", _skeleton_cells, "long", None),
+    ("mask_dice_rotation", _turned_dice, "double", None), ("shape_context_sim", _own_context, "double", None),
 ):
-    _kernel(_name, _function, _kind)
+    _kernel(_name, _function, _kind, _sql)
 
 
 @query()

@@ -1,6 +1,8 @@
 """Raster kernels against plain loops, and the behaviours that image search relies on."""
 
+import cmath
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -218,3 +220,31 @@ def test_own_context_sweeps_36_turns(monkeypatch):
     seen, make = [], P.context_turns
     monkeypatch.setattr(P, "context_turns", lambda *a: seen.append(make(*a)) or seen[-1])
     assert catalogue._own_context(square()) > 0.5 and len(seen[0]) == 36
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spectrum_and_contour_against_plain_sums(seed):
+    """Shares of 24 sectors in each of 16 rings by loops over pixels, and their discrete Fourier transforms by the sum."""
+    rng = np.random.default_rng(seed)
+    raster = np.zeros((40, 44, 4), np.uint8)
+    raster[5:33, 7:38] = np.where(rng.random((28, 31, 1)) < 0.6, 255, 0)
+    raster[5:9, 7:12] = 255
+    pixels = [(x, y) for y in range(40) for x in range(44) if raster[y, x, 3] > 4]
+    cx, cy = (sum(p[k] for p in pixels) / len(pixels) for k in (0, 1))
+    rms = math.sqrt(sum((x - cx) ** 2 + (y - cy) ** 2 for x, y in pixels) / len(pixels))
+    rings = [[0] * 24 for _ in range(16)]
+    for x, y in pixels:
+        ring, sector = math.hypot(x - cx, y - cy) / rms * 16, (math.degrees(math.atan2(y - cy, x - cx)) + 180) / 15
+        assert min(abs(v - round(v)) for v in (ring, sector)) > 1e-12  # on no border, where the last bits would tell
+        rings[min(15, int(ring))][min(23, int(sector))] += 1
+    waves = []
+    for row in rings:
+        row = [n / (sum(row) or 1) for n in row]
+        own = [abs(sum(v * cmath.exp(-2j * math.pi * f * k / 24) for k, v in enumerate(row))) for f in range(1, 13)]
+        waves += [w / (sum(own) or 1) for w in own]
+    assert np.allclose(D.features(raster, M.library_coverage(raster))["ang_mag"], np.array(waves) / sum(waves))
+
+    points = rng.random((128, 2))
+    plain = [abs(sum(complex(*p) * cmath.exp(-2j * math.pi * f * k / 128) for k, p in enumerate(points))) for f in range(1, 33)]
+    assert np.allclose(D.fourier(points), np.array(plain) / plain[0])
+    assert not D.fourier(np.full((128, 2), 0.5)).any()
