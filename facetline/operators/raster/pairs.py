@@ -94,9 +94,10 @@ def best_dot(turns: np.ndarray, grid: np.ndarray) -> float:
     return max(0.0, float((turns @ grid).max())) if turns.shape[1] == len(grid) else 0.0
 
 
-def assignment(cost: np.ndarray) -> np.ndarray:
+def assignment(cost: np.ndarray, reduced: bool = False) -> np.ndarray:
     """Column of each row (-1: none) in the one-to-one matching of least cost: shortest augmenting paths with potentials
-    (Jonker and Volgenant, 1987), a row at a time over whole columns."""
+    (Jonker and Volgenant, 1987), a row at a time over whole columns. ``reduced`` begins a square matrix with rows and
+    columns less their least, which is faster; of matchings that cost the same it may give another."""
     if not cost.size:
         return np.full(cost.shape[0], -1)
     if cost.shape[0] > cost.shape[1]:
@@ -107,24 +108,32 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     n, m = cost.shape
     u, v = np.zeros(n), np.zeros(m)
     row_of, out = np.full(m, -1), np.full(n, -1)
-    for start in range(n):
-        least, came = np.full(m, np.inf), np.full(m, -1)
-        done, row, seen, reach = np.zeros(m, bool), start, [], 0.0
+    if reduced and n == m:
+        u = cost.min(axis=1)
+        less = cost - u[:, None]
+        v = less.min(axis=0)
+        rows, columns = np.unique(less.argmin(axis=0), return_index=True)
+        out[rows], row_of[columns] = columns, rows
+    for start in np.flatnonzero(out < 0).tolist():
+        least, came, open_v = np.full(m, np.inf), np.full(m, -1), v.copy()
+        row, seen, reach = start, [], 0.0
         while True:
-            reduced = reach + cost[row] - u[row] - v
-            better = ~done & (reduced < least)
-            least[better], came[better] = reduced[better], row
-            column = int(np.where(done, np.inf, least).argmin())
-            reach = least[column]
-            done[column] = True
+            through = reach + cost[row]
+            through -= u[row]
+            through -= open_v  # infinite for columns that are done
+            came[through < least] = row
+            np.minimum(least, through, out=least)
+            column = int(least.argmin())
+            reach = float(least[column])
             if row_of[column] < 0:
                 break
-            seen.append(column)
-            row = row_of[column]
+            least[column], open_v[column] = np.inf, -np.inf
+            seen.append((column, reach))
+            row = int(row_of[column])
         u[start] += reach
-        for c in seen:
-            u[row_of[c]] += reach - least[c]
-            v[c] -= reach - least[c]
+        for c, at in seen:
+            u[row_of[c]] += reach - at
+            v[c] -= reach - at
         while True:
             row = came[column]
             row_of[column], out[row], column = row, column, out[row]
@@ -134,14 +143,17 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 
 
 def chi_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(rows of a, rows of b). Half of (x-y)^2/(x+y) is half of x+y less 2xy/(x+y), and the latter is 0 for most bins, so
-    it is summed bin by bin over rows that have the bin."""
-    out = 0.5 * (a.sum(axis=1)[:, None] + b.sum(axis=1)[None])
-    for k in np.flatnonzero((a > 0).any(axis=0) & (b > 0).any(axis=0)):
-        i, j = np.flatnonzero(a[:, k]), np.flatnonzero(b[:, k])
-        x, y = a[i, k][:, None], b[j, k][None]
-        out[i[:, None], j[None]] -= 2 * (x * y / (x + y))
-    return out
+    """(rows of a, rows of b). Half of (x-y)^2/(x+y) is x/2 - 3y/2 + 2y^2/(x+y), and the last is 0 where y is, which is so
+    for most bins: each row of b is summed over the bins that it has."""
+    out = np.empty((len(b), len(a)))
+    bins_of = np.ascontiguousarray(a.T)
+    for k, row in enumerate(b):
+        bins = np.flatnonzero(row)
+        y = row[bins]
+        sums = bins_of[bins]
+        sums += y[:, None]
+        out[k] = (y * y) @ np.divide(1.0, sums, out=sums)
+    return np.maximum(0.0, 0.5 * a.sum(axis=1)[:, None] + (2 * out - 1.5 * b.sum(axis=1)[:, None]).T)
 
 
 # -- shape context of soft masks ----------------------------------------------------------------------------------------
@@ -186,7 +198,7 @@ def context_similarity(turns: list[np.ndarray], ref: np.ndarray) -> float:
     for bound, _, cost in sorted(todo, key=lambda x: x[:2]):
         if bound >= best:
             break
-        to = assignment(cost)
+        to = assignment(cost, reduced=True)
         best = min(best, cost[np.flatnonzero(to >= 0), to[to >= 0]].sum() / max(cost.shape))
     return float(np.clip(1 - best, 0, 1)) if np.isfinite(best) else 0.0
 
@@ -282,7 +294,7 @@ def contour_similarity(q: dict, r: dict) -> float:
     for k in np.argsort(bounds, kind="stable"):
         if bounds[k] >= best:
             break
-        best = min(best, float(costs[k][np.arange(costs.shape[1]), assignment(costs[k])].sum()))
+        best = min(best, float(costs[k][np.arange(costs.shape[1]), assignment(costs[k], reduced=True)].sum()))
     return 1 - best / costs.shape[1]
 
 

@@ -145,6 +145,22 @@ def test_assignment_against_all_permutations():
         assert c[rows, to[rows]].sum() == best
 
 
+def test_reduced_start_costs_the_same():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 30):
+        for c in (rng.random((n, n)), rng.integers(0, 3, (n, n)).astype(float)):
+            plain, fast = P.assignment(c), P.assignment(c, reduced=True)
+            assert sorted(fast) == list(range(n)) and c[np.arange(n), fast].sum() == pytest.approx(c[np.arange(n), plain].sum())
+
+
+def test_chi_squares_against_the_formula():
+    rng = np.random.default_rng(6)
+    a, b = (np.where(rng.random((n, 20)) < 0.4, rng.random((n, 20)), 0.0) for n in (9, 5))
+    b[0], a[1], b[2] = 0, 0, a[0]
+    want = [[sum((x - y) ** 2 / (x + y) for x, y in zip(p, q, strict=True) if x + y > 0) / 2 for q in b] for p in a]
+    assert np.allclose(P.chi_squares(a, b), want) and P.chi_squares(a, b).min() >= 0
+
+
 def test_turning_an_object_keeps_it_similar():
     rng = np.random.default_rng(3)
     image = np.zeros((60, 60, 4), np.uint8)
