@@ -206,15 +206,23 @@ def context_similarity(turns: list[np.ndarray], ref: np.ndarray) -> float:
 # -- colour-agnostic score ----------------------------------------------------------------------------------------------
 
 
-def region_similarity(q: list[dict], r: list[dict]) -> float:
-    """Regions matched by grid and distance from the middle; the mean over matched area times the share of the query's
-    area that is matched."""
-    if q is None or r is None or not len(q) or not len(r):
+def region_arrays(regions) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Grids at unit length, distances from the middle and areas of an object's regions; None if it has none."""
+    if regions is None or not len(regions):
+        return None
+    grids = np.array([x["occ"] for x in regions], float)
+    lengths = np.sqrt((grids * grids).sum(axis=1, keepdims=True))
+    far = np.hypot(*(np.array([x[c] for x in regions]) - 0.5 for c in ("nx", "ny")))
+    return np.divide(grids, lengths, out=np.zeros_like(grids), where=lengths > 0), far, np.array([x["area"] for x in regions], float)
+
+
+def region_similarity(q: tuple | None, r: tuple | None) -> float:
+    """Regions (as ``region_arrays``) matched by grid and distance from the middle; the mean over matched area times the
+    share of the query's area that is matched."""
+    if q is None or r is None:
         return 0.0
-    far = lambda x: np.hypot(x["nx"] - 0.5, x["ny"] - 0.5)
-    cost = np.array([[0.7 * (1 - cosine(a["occ"], b["occ"])) + 0.3 * min(1.0, abs(far(a) - far(b))) for b in r] for a in q])
-    to = assignment(cost)
-    area = np.array([a["area"] for a in q], float)
+    cost = 0.7 * (1 - q[0] @ r[0].T) + 0.3 * np.minimum(1.0, np.abs(q[1][:, None] - r[1][None]))
+    to, area = assignment(cost), q[2]
     hit = to >= 0
     matched = area[hit].sum()
     close = np.maximum(0.0, 1 - cost[np.flatnonzero(hit), to[hit]])
@@ -223,7 +231,7 @@ def region_similarity(q: list[dict], r: list[dict]) -> float:
 
 def prepared(q: dict) -> dict:
     """A query's descriptor with the turns that every reference is held against."""
-    return q | {"occ_turns": grid_turns(q["occ64"]), "patch_turns": grid_turns(q["patch"], centre=True)}
+    return q | {"occ_turns": grid_turns(q["occ64"]), "patch_turns": grid_turns(q["patch"], centre=True), "parts": region_arrays(q["regions"])}
 
 
 def grids(q: dict, r: dict) -> tuple[float, float]:
@@ -235,7 +243,7 @@ def grids(q: dict, r: dict) -> tuple[float, float]:
 def expert(q: dict, r: dict) -> float:
     """Weighted sum over grids, patches, regions, contour and radii."""
     occ, near = grids(q, r)
-    return 0.20 * occ + 0.20 * near + 0.20 * region_similarity(q["regions"], r["regions"]) + 0.25 * cosine(q["fourier"], r["fourier"]) + 0.15 * overlap(q["rad"], r["rad"])
+    return 0.20 * occ + 0.20 * near + 0.20 * region_similarity(q["parts"], region_arrays(r["regions"])) + 0.25 * cosine(q["fourier"], r["fourier"]) + 0.15 * overlap(q["rad"], r["rad"])
 
 
 def _cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -243,12 +251,16 @@ def _cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.divide(rows @ q, lengths, out=np.zeros(len(rows)), where=lengths > 0)
 
 
-def experts(q: dict, rows) -> np.ndarray:
-    """``expert`` of a prepared query and each row of a table of descriptors, but for the regions all rows at once."""
-    r = {c: np.stack(rows[c].to_numpy()) for c in ("occ64", "occ_bbox64", "patch", "patch_bbox", "fourier", "rad")}
+def stacked(rows) -> dict:
+    """What ``experts`` reads of a table of descriptors, made once for all queries."""
+    return {c: np.stack(rows[c].to_numpy()) for c in ("occ64", "occ_bbox64", "patch", "patch_bbox", "fourier", "rad")} | {"parts": [region_arrays(x) for x in rows["regions"]]}
+
+
+def experts(q: dict, r: dict) -> np.ndarray:
+    """``expert`` of a prepared query and each of ``stacked`` rows, but for the regions all rows at once."""
     occ = np.maximum(np.maximum(0.0, (q["occ_turns"] @ r["occ64"].T).max(axis=0)), _cosines(q["occ_bbox64"], r["occ_bbox64"]))
     near = np.maximum(np.maximum(0.0, (q["patch_turns"] @ r["patch"].T).max(axis=0)), np.maximum(0.0, r["patch_bbox"] @ q["patch_bbox"]))
-    regions = np.array([region_similarity(q["regions"], x) for x in rows["regions"]])
+    regions = np.array([region_similarity(q["parts"], x) for x in r["parts"]])
     radii = np.minimum(r["rad"], q["rad"]).sum(axis=1)
     return 0.20 * occ + 0.20 * near + 0.20 * regions + 0.25 * _cosines(q["fourier"], r["fourier"]) + 0.15 * radii
 

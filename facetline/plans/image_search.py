@@ -116,7 +116,7 @@ def _pair_vectors(queries: dict[int, dict]):
                 shaped = group["occ64"].notna().to_numpy() if "occ_turns" in q else np.zeros(len(group), bool)
                 expert = np.zeros(len(group))
                 if shaped.any():
-                    expert[shaped] = P.experts(q, group[shaped])
+                    expert[shaped] = P.experts(q, P.stacked(group[shaped]))
                 for r, mask, known in zip(group.to_dict("records"), dice, expert, strict=True):
                     v = [*P.seven(q, r), float(mask), 0.0, float(q["mono"]), *P.polar_detail(q["polar_shape"], r["polar_shape"]), float(known)]
                     out.append((name, r["ref_id"], r["pref"], v[0], [float(x) for x in v]))
@@ -218,10 +218,11 @@ def _global(queries: dict[int, dict]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[int, dict] = {}
         for batch in batches:
+            rows = P.stacked(batch)
             for i, q in queries.items():
                 if i not in ready:
                     ready[i] = P.prepared(q)
-                yield pd.DataFrame({"query_id": i, "ref_id": batch["ref_id"], "global": P.experts(ready[i], batch)})
+                yield pd.DataFrame({"query_id": i, "ref_id": batch["ref_id"], "global": P.experts(ready[i], rows)})
 
     return run
 
@@ -235,12 +236,13 @@ def _six(queries: dict[int, dict]):
             out = []
             refs = [_row(r, SIX) for r in batch[list(SIX)].to_dict("records")]
             for ref_id, ref, asked in zip(batch["ref_id"], refs, batch["asked"], strict=True):
+                parts = P.region_arrays(ref["regions"])
                 for name in (a["query_id"] for a in asked):
                     if name not in ready:
                         q = queries[name]
                         ready[name] = P.prepared(q) | {"contour_turns": P.contour_turns(q["points"])}
                     q = ready[name]
-                    v = (*P.grids(q, ref), P.region_similarity(q["regions"], ref["regions"]), P.hog_shifts(q["hog"], ref["hog"]), P.contour_similarity(q, ref), P.cosine(q["fourier"], ref["fourier"]))
+                    v = (*P.grids(q, ref), P.region_similarity(q["parts"], parts), P.hog_shifts(q["hog"], ref["hog"]), P.contour_similarity(q, ref), P.cosine(q["fourier"], ref["fourier"]))
                     out += [(name, ref_id, dim, float(x)) for dim, x in zip(PRIOR, v, strict=True)]
             yield pd.DataFrame(out, columns=["query_id", "ref_id", "dim", "score"])
 

@@ -221,7 +221,7 @@ def test_experts_of_many_rows_are_those_of_each():
     rng = np.random.default_rng(4)
     shapes = [D.shape(np.kron(np.dstack([rng.integers(40, 200, (8, 8))] * 3 + [np.where(rng.random((8, 8)) > 0.4, 255, 0)]), np.ones((6, 6, 1))).astype(np.uint8)) for _ in range(4)]
     q = P.prepared(shapes[0])
-    assert np.allclose(P.experts(q, pd.DataFrame(shapes)), [P.expert(q, r) for r in shapes])
+    assert np.allclose(P.experts(q, P.stacked(pd.DataFrame(shapes))), [P.expert(q, r) for r in shapes])
 
 
 def pd_row(found):
