@@ -96,6 +96,17 @@ def _by_query(batch: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
     yield from pd.concat([named, told], axis=1).groupby("query_id")
 
 
+#: queries that a task keeps prepared (about 3 MB each); others are prepared anew for each batch that needs them
+KEPT = 64
+
+
+def _made(ready: dict, name: int, make) -> dict:
+    q = ready.get(name) or make()
+    if len(ready) < KEPT:
+        ready[name] = q
+    return q
+
+
 #: columns that pairs are made of
 PAIRED = ("hist", "radial", "ang_mag", "polar_shape", "polar_col", "zern", "mask", "occ64", "occ_bbox64", "patch", "patch_bbox", "regions", "fourier", "rad")
 
@@ -103,15 +114,16 @@ PAIRED = ("hist", "radial", "ang_mag", "polar_shape", "polar_col", "zern", "mask
 def _pair_vectors(queries: dict[int, dict]):
     """27 values of each pair: seven similarities, mask, gate (0 here), mono, 16 rings, expert score."""
 
+    def make(q: dict) -> dict:
+        return (P.prepared(q) if q.get("occ64") is not None else q) | {"mask_turns": P.mask_turns(q["mask"])}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[int, tuple[dict, np.ndarray]] = {}
+        ready: dict[int, dict] = {}
         for batch in batches:
             out = []
             for name, group in _by_query(batch):
-                if name not in ready:
-                    q = queries[name]
-                    ready[name] = (P.prepared(q) if q.get("occ64") is not None else q, P.mask_turns(q["mask"]))
-                q, turns = ready[name]
+                q = _made(ready, name, lambda name=name: make(queries[name]))
+                turns = q["mask_turns"]
                 dice = P.mask_scores(turns, float(q["mask"].sum()), np.stack(group["mask"].to_numpy()))
                 shaped = group["occ64"].notna().to_numpy() if "occ_turns" in q else np.zeros(len(group), bool)
                 expert = np.zeros(len(group))
@@ -220,31 +232,31 @@ def _global(queries: dict[int, dict]):
         for batch in batches:
             rows = P.stacked(batch)
             for i, q in queries.items():
-                if i not in ready:
-                    ready[i] = P.prepared(q)
-                yield pd.DataFrame({"query_id": i, "ref_id": batch["ref_id"], "global": P.experts(ready[i], rows)})
+                yield pd.DataFrame({"query_id": i, "ref_id": batch["ref_id"], "global": P.experts(_made(ready, i, lambda q=q: P.prepared(q)), rows)})
 
     return run
 
 
 def _six(queries: dict[int, dict]):
-    """The six dimensions of each pair."""
+    """The six dimensions of each pair, a query of a batch at a time."""
+
+    def make(q: dict) -> dict:
+        return P.prepared(q) | {"contour_turns": P.contour_turns(q["points"])}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[int, dict] = {}
         for batch in batches:
-            out = []
-            refs = [_row(r, SIX) for r in batch[list(SIX)].to_dict("records")]
-            for ref_id, ref, asked in zip(batch["ref_id"], refs, batch["asked"], strict=True):
-                parts = P.region_arrays(ref["regions"])
-                for name in (a["query_id"] for a in asked):
-                    if name not in ready:
-                        q = queries[name]
-                        ready[name] = P.prepared(q) | {"contour_turns": P.contour_turns(q["points"])}
-                    q = ready[name]
+            asked: dict[int, list] = {}
+            for r, pairs in zip(batch[["ref_id", *SIX]].to_dict("records"), batch["asked"], strict=True):
+                ref = (int(r["ref_id"]), _row(r, SIX), P.region_arrays(r["regions"]))
+                for pair in pairs:
+                    asked.setdefault(pair["query_id"], []).append(ref)
+            for name, refs in asked.items():
+                q, out = _made(ready, name, lambda name=name: make(queries[name])), []
+                for ref_id, ref, parts in refs:
                     v = (*P.grids(q, ref), P.region_similarity(q["parts"], parts), P.hog_shifts(q["hog"], ref["hog"]), P.contour_similarity(q, ref), P.cosine(q["fourier"], ref["fourier"]))
                     out += [(name, ref_id, dim, float(x)) for dim, x in zip(PRIOR, v, strict=True)]
-            yield pd.DataFrame(out, columns=["query_id", "ref_id", "dim", "score"])
+                yield pd.DataFrame(out, columns=["query_id", "ref_id", "dim", "score"])
 
     return run
 

@@ -183,3 +183,11 @@ def test_hidden_files_are_read(spark, tmp_path):
     assert all(bytes(r.content) == tiny(8, 8) for r in images.contents(spark, found, str(tree)).collect())
     e = Engine(spark, str(tmp_path / "index"))
     assert e.build(str(tree)) == 5 and e.errors().count() == 0
+
+
+def test_prepared_queries_are_bounded(monkeypatch):
+    monkeypatch.setattr(I, "KEPT", 2)
+    ready, made = {}, []
+    for name in (1, 2, 3, 1, 3):
+        assert I._made(ready, name, lambda name=name: made.append(name) or {"name": name}) == {"name": name}
+    assert made == [1, 2, 3, 3] and sorted(ready) == [1, 2]
