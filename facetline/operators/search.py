@@ -11,12 +11,15 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import sheets
+
 #: queries of one block
 BLOCK = 4096
 #: rows of a short list that are broadcast at most (24 bytes each); a longer one is joined by shuffle
@@ -119,6 +122,59 @@ def top_k(refs: DataFrame, queries: DataFrame, scorer: Scorer, k: int) -> DataFr
     return reduce(DataFrame.unionAll, found)
 
 
+#: scores that a task of ``whole`` holds at once, rows of one of its chunks and of a batch that it gives
+HELD, CHUNK, GIVEN = 1 << 22, 4096, 50_000
+
+
+def whole(refs: DataFrame, queries: DataFrame, scorer: Scorer, head: DataFrame) -> DataFrame:
+    """query_id, ref_id, score, stage and rank of all rows of ``refs`` (id, vector) for each of ``queries`` (id, vector): those
+    of ``head`` (query_id, ref_id, score, rank) at stage 1, behind them all others by their score, of equal ones the least id.
+
+    The result has queries x rows rows, none of which is shuffled or written: vectors lie once in files of the checkpoint
+    folder, which stay as long as the result may be read, and a task gives the whole list of some queries at a time."""
+    refs, queries = (x.toDF("id", "vector").where("id IS NOT NULL AND vector IS NOT NULL") for x in (refs, queries))
+    home = sheets.made(refs.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with sheets.Writer(home) as out:
+            for batch in batches:
+                for part in (batch.slice(a, CHUNK) for a in range(0, len(batch), CHUNK)):
+                    place = out.put({"ids": part.column(0).to_numpy().astype(np.int64), "vectors": _matrix(part.column(1))})
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*place, len(part))], [*sheets.PLACE, "n"])
+
+    chunks = [tuple(r) for r in cut(refs.mapInArrow(pack, f"{sheets.PLACE_SCHEMA}, n long")).sort(*sheets.PLACE).toLocalIterator()]
+    rows = sum(c[-1] for c in chunks)
+    group = max(1, min(64, HELD // max(1, rows)))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = sheets.Reader(home)
+        asked = (r for batch in batches for r in batch.to_pylist())
+        while some := list(islice(asked, group)):
+            q, ids, scores, at = np.array([r["vector"] for r in some], np.float64), np.empty(rows, np.int64), np.empty((len(some), rows)), 0
+            for *place, n in chunks:
+                chunk = reader.get(*place)
+                ids[at : at + n], scores[:, at : at + n], at = chunk["ids"], scorer(q, chunk["vectors"]), at + n
+            by_id = np.argsort(ids, kind="stable")
+            ids = ids[by_id]
+            for r, own in zip(some, scores, strict=True):
+                own = own[by_id]
+                first = sorted(r["head"] or [], key=lambda x: x["rank"])
+                order = np.argsort(-own, kind="stable")
+                order = order[~np.isin(ids[order], [x["ref_id"] for x in first])]
+                every = np.concatenate([np.array([x["ref_id"] for x in first], np.int64), ids[order]])
+                score = np.concatenate([np.array([x["score"] for x in first], np.float64), own[order]])
+                stage = np.repeat(np.array([1, 2], np.int32), [len(first), len(order)])
+                for a in range(0, len(every), GIVEN):
+                    b = min(len(every), a + GIVEN)
+                    columns = [np.full(b - a, r["id"], np.int64), every[a:b], score[a:b], stage[a:b], np.arange(a + 1, b + 1, dtype=np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "ref_id", "score", "stage", "rank"])
+
+    heads = head.groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.struct("ref_id", "score", "rank")).alias("head"))
+    # few bytes, much work on each
+    asked = queries.join(heads, "id", "left").repartition(max(4 * refs.sparkSession.sparkContext.defaultParallelism, -(-queries.count() // 64)))
+    return asked.mapInArrow(lists, "query_id long, ref_id long, score double, stage int, rank int")
+
+
 def shared(spark: SparkSession) -> str:
     """The checkpoint folder. Where that is unset and all runs in one process, as in tests, it is a temporary folder."""
     context = spark.sparkContext

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: columns of a place
 PLACE = ("file", "at", "size")
-PLACE_SCHEMA = "file string, at long, size int"
+PLACE_SCHEMA = "file string, at long, size long"
 #: schemes that Hadoop and Arrow spell in different ways
 SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
 #: files that a reader keeps open
@@ -36,17 +36,24 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
-@contextmanager
-def folder(spark: SparkSession) -> Iterator[str]:
-    """A new folder under the checkpoint folder, deleted at the end: for results that are written meanwhile."""
+def made(spark: SparkSession) -> str:
+    """A new folder under the checkpoint folder."""
     from ..operators.search import shared
 
     home = f"{shared(spark)}/sheets-{uuid.uuid4().hex}"
     system, path = _opened(home)  # a store that Arrow doesn't know raises here, before any task runs
     system.create_dir(path, recursive=True)
+    return home
+
+
+@contextmanager
+def folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder, deleted at the end: for results that are written meanwhile."""
+    home = made(spark)
     try:
         yield home
     finally:
+        system, path = _opened(home)
         system.delete_dir(path)
 
 
