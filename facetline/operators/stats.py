@@ -28,7 +28,8 @@ def histogram(rows: DataFrame, keys: list[str], value: Column, bins: int) -> Dat
 
 def otsu(rows: DataFrame, keys: list[str], level: str) -> DataFrame:
     """keys and threshold: the level (0..255) that best parts levels below it from the others, by variance between the
-    two sides; of equal ones the largest. Both sides must have rows; keys with one level have no row."""
+    two sides to six places, as sums differ in their last bits; of equal ones the largest. Both sides must have rows; keys
+    with one level have no row."""
     w = Window.partitionBy(*keys)
     run = w.orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
     n = rows.groupBy(*keys, level).agg(F.count("*").alias("n"))
@@ -36,7 +37,7 @@ def otsu(rows: DataFrame, keys: list[str], level: str) -> DataFrame:
     sums = n.select(*keys, level, F.coalesce(F.sum("n").over(run), F.lit(0)).alias("nb"), F.coalesce(F.sum(F.col("n") * F.col(level)).over(run), F.lit(0)).alias("sb"), F.sum("n").over(w).alias("na"), F.sum(F.col("n") * F.col(level)).over(w).alias("sa"))
     nf, sf = F.col("na") - F.col("nb"), F.col("sa") - F.col("sb")
     apart = F.col("sb") / F.col("nb") - sf / nf
-    rated = sums.where("nb > 0").withColumn("between", F.col("nb").cast("double") * nf * apart * apart)
+    rated = sums.where("nb > 0").withColumn("between", F.round(F.col("nb").cast("double") * nf * apart * apart * 1e6))
     return rated.groupBy(*keys).agg(F.max_by(level, F.struct("between", level)).alias("threshold"))
 
 
