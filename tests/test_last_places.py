@@ -37,3 +37,8 @@ def _as_text(spark, d, name):
 def test_what_rounds_to_zero_keeps_its_sign(spark, tiny):
     got, want = _as_text(spark, tiny, "l2_normalise")
     assert got == want and got[0][1].startswith("[-0.0, 0.0,")
+
+
+def test_what_the_mean_leaves_near_zero_keeps_its_sign(spark, tiny):
+    got, want = _as_text(spark, tiny, "ncc_normalise")
+    assert got == want and got[2][1].startswith("[-0.0, 0.0,")
