@@ -83,3 +83,21 @@ def test_whole_lists_are_neither_shuffled_nor_written(spark, grids, monkeypatch)
     plan = catalogue.append_tail_union(spark, grids)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("MapInArrow")]
     assert "Exchange" not in above and "Window" not in above and "Sort" not in above
+
+
+def test_shape_search_by_places_is_that_of_rows(spark, grids):
+    index, asked = _wide(spark, grids, True)
+    _same(catalogue.shape_search_e2e(spark, grids), I.expert_ranked(index, asked, 5).select("query_id", "ref_id", catalogue._six("score"), "rank"))
+
+
+def test_global_scores_leave_a_task_as_a_bounded_list(spark, grids, monkeypatch):
+    monkeypatch.setattr(I, "ASKED", 3)
+    monkeypatch.setattr(I, "ROWS", 16)
+    with sheets.folder(spark) as home:
+        asked, index = catalogue._asked(spark, grids, True, home), I.drawings(spark, grids, True, home)
+        assert index.where("cheap IS NOT NULL").count() == 0  # what shape alone doesn't read isn't written
+        batch = index.select("ref_id", *sheets.PLACE).toPandas()
+        every, best = (pd.concat(I._best_of_sheets(asked, most)(iter([batch[:40], batch[40:]]))) for most in (70, 9))
+    assert (every.groupby("query_id").size() == 70).all() and (best.groupby("query_id").size() == 9).all()
+    want = every.sort_values(["query_id", "global", "ref_id"], ascending=[True, False, True]).groupby("query_id").head(9)
+    assert sorted(map(tuple, want.to_numpy())) == sorted(map(tuple, best.to_numpy()))
