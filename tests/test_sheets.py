@@ -101,3 +101,35 @@ def test_global_scores_leave_a_task_as_a_bounded_list(spark, grids, monkeypatch)
     assert (every.groupby("query_id").size() == 70).all() and (best.groupby("query_id").size() == 9).all()
     want = every.sort_values(["query_id", "global", "ref_id"], ascending=[True, False, True]).groupby("query_id").head(9)
     assert sorted(map(tuple, want.to_numpy())) == sorted(map(tuple, best.to_numpy()))
+
+
+def test_regions_are_matched_only_of_rows_that_can_reach_the_list(spark, grids, monkeypatch):
+    from facetline.operators.raster import pairs as P
+
+    matched, match = [], P.region_similarity
+    monkeypatch.setattr(I, "ROWS", 16)
+    monkeypatch.setattr(P, "region_similarity", lambda q, r: matched.append(1) or match(q, r))
+    with sheets.folder(spark) as home:
+        asked, index = catalogue._asked(spark, grids, True, home), I.drawings(spark, grids, True, home)
+        batch = index.select("ref_id", *sheets.PLACE).toPandas()
+        every = pd.concat(I._best_of_sheets(asked, 70)(iter([batch])))
+        assert len(matched) == 4 * 70
+        best = pd.concat(I._best_of_sheets(asked, 3)(iter([batch])))
+    assert len(matched) - 4 * 70 < 0.8 * 4 * 70
+    want = every.sort_values(["query_id", "global", "ref_id"], ascending=[True, False, True]).groupby("query_id").head(3)
+    assert sorted(map(tuple, want.to_numpy())) == sorted(map(tuple, best.to_numpy()))
+
+
+def test_no_row_matches_its_regions_better_than_its_bound(spark, grids):
+    from facetline.operators.raster import pairs as P
+
+    rows = spark.read.parquet(f"{grids}/embeddings.parquet").where("vec_id < 12").toPandas()
+    made = [I.describe(I.from_grid(r.embedding, r.label), False, True) for r in rows.itertuples()]
+    made[3] = made[3] | {"regions": None}
+    q, stacked = P.prepared(made[0]), P.stacked(pd.DataFrame(made))
+    found, bounds = (np.array(x) for x in ([P.region_similarity(q["parts"], x) for x in stacked["parts"]], P.region_bounds(q["parts"], stacked)))
+    assert (found <= bounds).all() and bounds[3] == 0 and (bounds < 1.01).all() and not P.region_bounds(None, stacked).any()
+    full = P.experts(q, stacked)
+    least = np.sort(full)[6]
+    some = P.experts(q, stacked, least)
+    assert (some[full >= least] == full[full >= least]).all() and np.isneginf(some[full < least]).any()
