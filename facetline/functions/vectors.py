@@ -59,14 +59,17 @@ def l1(v: Column | str) -> Column:
     return let(total(v), lambda s: F.when(s > 0, F.transform(v, lambda x: x / s)).otherwise(v))
 
 
-def l2(v: Column | str) -> Column:
-    return let(_c(v), lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
+def l2(v: Column | str, without: float | None = None) -> Column:
+    """Divided by its length. Without length it is as it is, or ``without`` in each place."""
+    left = lambda v: v if without is None else F.transform(v, lambda _: F.lit(without))
+    return let(_c(v), lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).when(n == 0, left(v)).otherwise(v)))
 
 
-def centred(v: Column | str) -> Column:
-    """Mean taken away, then unit length: dot products of such vectors are normalised cross-correlations."""
+def centred(v: Column | str, places: int | None = None, without: float | None = None) -> Column:
+    """Mean taken away, then unit length: dot products of such vectors are normalised cross-correlations. The mean is over
+    ``places``, if they are given, however many elements there are; what doesn't vary is ``without``, or zeros."""
     v = _c(v)
-    return l2(let(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean)))
+    return l2(let(total(v) / (F.greatest(F.size(v), F.lit(1)) if places is None else places), lambda mean: F.transform(v, lambda x: x - mean)), without)
 
 
 def rolled(v: Column | str, steps: Column | int) -> Column:

@@ -42,3 +42,15 @@ def test_what_rounds_to_zero_keeps_its_sign(spark, tiny):
 def test_what_the_mean_leaves_near_zero_keeps_its_sign(spark, tiny):
     got, want = _as_text(spark, tiny, "ncc_normalise")
     assert got == want and got[2][1].startswith("[-0.0, 0.0,")
+
+
+def test_what_does_not_vary_or_is_no_whole_grid_is_as_in_sql(spark, tmp_path):
+    rest = [0.125, -0.25] * 31
+    odd = [[0.25] * 64, [0.0] * 64, [], [0.5], rest, [*rest, 0.5, 0.75, 1.0], None, [*rest, 0.5, 0.75], [float("nan"), *rest, 1.0]]
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(odd)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["v"] for r in catalogue.QUERIES["ncc_normalise"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = dict(c.execute(catalogue.SQL["ncc_normalise"]).fetchall())
+    assert {i: str(v) for i, v in got.items()} == {i: str(v) for i, v in want.items()}
+    assert str(got[0]) == str([float("nan")] * 64) and got[2] == [] and got[3] == [1.0] and got[6] is None
